@@ -1,0 +1 @@
+"""Empty on purpose: every input of this engine is a finite batch, so there is no streaming operator."""
