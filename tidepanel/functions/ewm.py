@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.num import lit
-from tidepanel.functions.windows import CODE, DATE
+from tidepanel.functions.windows import CODE, DATE, run_stages
 
 # Days in a block; powers of the decay inside one block stay below 1e100.
 MAX_BLOCK_DAYS = 512
@@ -39,8 +39,8 @@ def _block_days(specs: list[Ewm]) -> int:
     return max(1, min(MAX_BLOCK_DAYS, slowest_safe))
 
 
-def _fold(decay: float):
-    return lambda acc, e: acc * F.pow(lit(decay), e["m"]) + e["s"]
+def _fold(decay: float, name: str):
+    return lambda acc, e: acc * F.pow(lit(decay), e["m"]) + e[name]
 
 
 def ewm(df: DataFrame, specs: list[Ewm]) -> DataFrame:
@@ -68,16 +68,40 @@ def ewm(df: DataFrame, specs: list[Ewm]) -> DataFrame:
         local[f"__s_{s.out}"] = F.pow(lit(1 - s.alpha), j) * F.sum(w * x * F.pow(lit(1 - s.alpha), -j)).over(to_row)
     df = df.withColumns(local)
 
+    # Values at the last observation of each earlier block, one list per input.
     ends = {}
-    for s in specs:
-        is_end = F.col(f"__j_{s.x}") == F.col(f"__m_{s.x}") - 1
-        end = F.struct(F.col(f"__s_{s.out}").alias("s"), F.col(f"__m_{s.x}").alias("m"))
-        ends[f"__e_{s.out}"] = F.collect_list(F.when(is_end, end)).over(prior)
+    for x in inputs:
+        is_end = F.col(f"__j_{x}") == F.col(f"__m_{x}") - 1
+        values = [F.col(f"__s_{s.out}").alias(s.out) for s in specs if s.x == x]
+        ends[f"__e_{x}"] = F.collect_list(F.when(is_end, F.struct(F.col(f"__m_{x}").alias("m"), *values))).over(prior)
     df = df.withColumns(ends)
 
     out = {}
     for s in specs:
-        carry = F.aggregate(F.col(f"__e_{s.out}"), lit(s.seed or 0.0), _fold(1 - s.alpha))
+        carry = F.aggregate(F.col(f"__e_{s.x}"), lit(s.seed or 0.0), _fold(1 - s.alpha, s.out))
         out[s.out] = F.col(f"__s_{s.out}") + carry * F.pow(lit(1 - s.alpha), F.col(f"__j_{s.x}") + 1)
-    df = df.withColumns(out)
-    return df.drop("__blk", *pos, *local, *ends)
+    return df.withColumns(out).drop("__blk", *pos, *local, *ends)
+
+
+@dataclass(frozen=True)
+class Smoothing:
+    """An indicator built on means: helper columns, means over them, means over those, outputs."""
+
+    before: dict[str, Column]
+    first: list[Ewm]
+    between: dict[str, Column]
+    second: list[Ewm]
+    after: list[dict[str, Column]]
+
+
+def smooth(df: DataFrame, *parts: Smoothing) -> DataFrame:
+    """Run several indicators together, so that they share windows and sorts."""
+    kept = set(df.columns)
+    df = df.withColumns({o: x for p in parts for o, x in p.before.items()})
+    df = ewm(df, [e for p in parts for e in p.first])
+    df = df.withColumns({o: x for p in parts for o, x in p.between.items()})
+    second = [e for p in parts for e in p.second]
+    if second:
+        df = ewm(df, second)
+    df = run_stages(df, *[p.after for p in parts])
+    return df.drop(*[c for c in df.columns if c.startswith("__") and c not in kept])

@@ -7,6 +7,7 @@ Per-date groups have no such bound: see ordered.py for those.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -18,8 +19,13 @@ CODE, DATE = "code", "date"
 
 
 def by_code(df: DataFrame) -> DataFrame:
-    """Hash rows on the entity once; every per-entity window below reuses this exchange."""
-    return df.repartition(CODE)
+    """Hash rows on the entity once; every per-entity window below reuses this exchange.
+
+    The partition count is the session's: window chains turn few input bytes into much work,
+    so merging partitions by their input size would leave cores idle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, CODE)
 
 
 def entity() -> WindowSpec:
@@ -92,72 +98,83 @@ def cumsum_in(x: Column, unit: str) -> Column:
     return F.when(x.isNotNull(), F.sum(x).over(to_date_in(unit)))
 
 
-def rolling_moments(df: DataFrame, pairs: dict[str, Column], lengths: list[int]) -> DataFrame:
+# Columns to add, level by level: an expression may use columns of earlier levels.
+Stages = list[dict[str, Column]]
+
+
+def run_stages(df: DataFrame, *parts: Stages) -> DataFrame:
+    """Apply several features together: equal levels go into one projection, so window expressions
+    over the same rows share one window operator and one sort. Helper columns (`__`) are dropped."""
+    made: list[str] = []
+    for level in range(max(map(len, parts), default=0)):
+        cols = {o: x for p in parts if level < len(p) for o, x in p[level].items()}
+        df, made = df.withColumns(cols), [*made, *cols]
+    return df.drop(*[c for c in made if c.startswith("__")])
+
+
+def feature(fn: Callable[..., Stages]) -> Callable[..., DataFrame]:
+    """A stage-list function of the present columns, as DataFrame -> DataFrame; `.stages` keeps the original."""
+
+    @functools.wraps(fn)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        return run_stages(df, fn(set(df.columns), *args, **kwargs))
+
+    run.stages = fn
+    return run
+
+
+def moments(tag: str, pairs: dict[str, Column], lengths: list[int]) -> Stages:
     """Rolling sums and counts for long frames at constant cost per row.
 
-    For each name -> expression adds `__n_<name>_<w>` and `__s_<name>_<w>`: count and sum of the
+    For each name -> expression gives `__<tag>_n_<name>_<w>` and `__<tag>_s_<name>_<w>`: count and sum of the
     non-null values among the last w rows, as differences of running sums. A sliding frame
     would be re-aggregated on every row (cost w per row).
     """
     cum, out = {}, {}
     for name, x in pairs.items():
         x = finite(x)  # one infinite value would stay in every later running sum
-        cum[f"__cs_{name}"] = F.coalesce(F.sum(x).over(so_far()), lit(0))
-        cum[f"__cn_{name}"] = F.count(x).over(so_far())
-    df = df.withColumns(cum)
-    for name in pairs:
-        s, n = F.col(f"__cs_{name}"), F.col(f"__cn_{name}")
+        cum[f"__{tag}_cs_{name}"] = F.coalesce(F.sum(x).over(so_far()), lit(0))
+        cum[f"__{tag}_cn_{name}"] = F.count(x).over(so_far())
+        s, n = F.col(f"__{tag}_cs_{name}"), F.col(f"__{tag}_cn_{name}")
         for w in lengths:
-            out[f"__s_{name}_{w}"] = s - F.coalesce(F.lag(s, w).over(entity()), lit(0))
-            out[f"__n_{name}_{w}"] = n - F.coalesce(F.lag(n, w).over(entity()), F.lit(0))
-    return df.withColumns(out).drop(*cum)
+            out[f"__{tag}_s_{name}_{w}"] = s - F.coalesce(F.lag(s, w).over(entity()), lit(0))
+            out[f"__{tag}_n_{name}_{w}"] = n - F.coalesce(F.lag(n, w).over(entity()), F.lit(0))
+    return [cum, out]
 
 
-def drop_private(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
-
-
-def rolling_beta(df: DataFrame, y: str, x: str, specs: dict[str, tuple[int, int]]) -> DataFrame:
+def rolling_beta(tag: str, y: str, x: str, specs: dict[str, tuple[int, int]]) -> Stages:
     """cov(y, x) / (var(x) + 1e-9) over several long frames; specs: output -> (rows, least rows)."""
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
     yy, xx = F.col(y), F.col(x)
-    lengths = sorted({w for w, _ in specs.values()})
-    df = rolling_moments(
-        df,
-        {
-            "y": F.when(both, yy),
-            "x": F.when(both, xx),
-            "yx": yy * xx,
-            "v": xx,
-            "vv": xx * xx,
-        },
-        lengths,
-    )
+    pairs = {"y": F.when(both, yy), "x": F.when(both, xx), "yx": yy * xx, "v": xx, "vv": xx * xx}
+    sums = moments(tag, pairs, sorted({w for w, _ in specs.values()}))
     out = {}
     for name, (w, least) in specs.items():
-        n, nv = F.col(f"__n_yx_{w}"), F.col(f"__n_v_{w}")
-        s = {k: F.col(f"__s_{k}_{w}") for k in ("y", "x", "yx", "v", "vv")}
         least = max(least, 2)
+        n, nv = F.col(f"__{tag}_n_yx_{w}"), F.col(f"__{tag}_n_v_{w}")
+        s = {k: F.col(f"__{tag}_s_{k}_{w}") for k in pairs}
         cov = F.when(n >= least, (s["yx"] - s["y"] * s["x"] / F.greatest(n, F.lit(1))) / F.greatest(n - 1, F.lit(1)))
         var = F.when(nv >= least, (s["vv"] - s["v"] * s["v"] / F.greatest(nv, F.lit(1))) / F.greatest(nv - 1, F.lit(1)))
         out[name] = cov / (F.greatest(var, lit(0)) + lit(1e-9))
-    return drop_private(df.withColumns(out))
+    return [*sums, out]
 
 
-def run_sum(df: DataFrame, specs: dict[str, str]) -> DataFrame:
+def run_sums(specs: dict[str, str]) -> Stages:
     """Running sum that restarts when the sign turns; zero continues the run, null stays null.
 
     The sign in force is the last non-zero sign; rows between two turns form an island.
     """
-    eff = {f"__sign_{o}": F.last(F.when(F.col(x) != 0, F.signum(x)), ignorenulls=True).over(so_far()) for o, x in specs.items()}
-    df = df.withColumns(eff)
-    turn = {
-        f"__turn_{o}": F.when(F.col(f"__sign_{o}") != F.lag(f"__sign_{o}").over(entity()), 1).otherwise(0) for o in specs
-    }
-    df = df.withColumns(turn)
-    df = df.withColumns({f"__isl_{o}": F.sum(f"__turn_{o}").over(so_far()) for o in specs})
-    out = {}
+    sign, turn, island, out = {}, {}, {}, {}
     for o, x in specs.items():
-        island = Window.partitionBy(CODE, f"__isl_{o}").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
-        out[o] = F.when(F.col(x).isNotNull(), F.sum(x).over(island))
-    return drop_private(df.withColumns(out))
+        v = F.col(x)
+        sign[f"__sign_{o}"] = F.last(F.when(v != 0, F.signum(v)), ignorenulls=True).over(so_far())
+        s = F.col(f"__sign_{o}")
+        turn[f"__turn_{o}"] = F.when(s != lag(s), 1).otherwise(0)
+        island[f"__isl_{o}"] = F.sum(f"__turn_{o}").over(so_far())
+        run = Window.partitionBy(CODE, f"__isl_{o}").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+        out[o] = F.when(v.isNotNull(), F.sum(v).over(run))
+    return [sign, turn, island, out]
+
+
+def drop_private(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("__")])

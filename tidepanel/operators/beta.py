@@ -12,19 +12,22 @@ from tidepanel.functions.ordered import RANGE_ROWS, TASK_ROWS
 from tidepanel.functions.windows import (
     CODE,
     DATE,
+    Stages,
     drop_private,
+    feature,
     lag,
     roll,
     rolling_beta,
+    run_stages,
 )
 from tidepanel.sources.scratch import save
 
 
-def daily_return_vol(df: DataFrame) -> DataFrame:
+@feature
+def daily_return_vol(cols: set[str]) -> Stages:
     x = F.col("adj_close")
-    df = df.withColumn("daily_return", fill(safe_div(x, lag(x)) - 1, 0))
     vol = roll(F.stddev_samp, 20, 10, F.col("daily_return")) * lit(math.sqrt(252))
-    return df.withColumn("vol20", fill(vol, 0))
+    return [{"daily_return": fill(safe_div(x, lag(x)) - 1, 0)}, {"vol20": fill(vol, 0)}]
 
 
 def next_code_value(df: DataFrame, value: str, task_rows: int | None = None) -> DataFrame:
@@ -55,20 +58,27 @@ def next_code_value(df: DataFrame, value: str, task_rows: int | None = None) ->
     return local.join(heads, "__part").select(CODE, F.coalesce("__local", "__later").alias("__next"))
 
 
-def shrunk_beta(df: DataFrame, window: int = 60, task_rows: int | None = None) -> DataFrame:
+def _raw_and_variance(df: DataFrame, window: int) -> DataFrame:
+    """Adds raw (rolling beta, bounded) and est (its rolling variance)."""
+    least = max(window // 2, 10)
+    std = roll(F.stddev_samp, window, least, F.col("raw"))
+    beta = rolling_beta("beta", "daily_return", "market_return", {"__raw": (window, least)})
+    return run_stages(df, [*beta, {"raw": clip(F.col("__raw"), -5, 5)}, {"est": std * std}])
+
+
+def shrunk_beta(
+    df: DataFrame, window: int = 60, task_rows: int | None = None, source: DataFrame | None = None
+) -> DataFrame:
     """Beta to the market, shrunk towards 1 by cross-sectional against estimation variance.
 
     The estimation variance is filled backwards: from the code's own later rows, then from the first
-    value of the next code in code order, then 0.25.
+    value of the next code in code order, then 0.25. source: the same rows with fewer columns, read for
+    the two side tables (one row per day, one per code); df itself when not given.
     """
-    least = max(window // 2, 10)
-    df = rolling_beta(df, "daily_return", "market_return", {"raw": (window, least)})
-    df = df.withColumn("raw", clip(F.col("raw"), -5, 5))
-    std = roll(F.stddev_samp, window, least, F.col("raw"))
-    df = df.withColumn("est", std * std)
-    # Both side tables are aggregates of the same narrow columns.
-    across = df.groupBy(DATE).agg(F.var_samp("raw").alias("__across"))
-    ahead = next_code_value(df.select(CODE, DATE, "est"), "est", task_rows)
+    df = _raw_and_variance(df, window)
+    side = df if source is None else _raw_and_variance(source, window)
+    across = side.groupBy(DATE).agg(F.var_samp("raw").alias("__across"))
+    ahead = next_code_value(side.select(CODE, DATE, "est"), "est", task_rows)
 
     down = Window.partitionBy(CODE).orderBy(F.col(DATE).desc()).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__own", F.last("est", ignorenulls=True).over(down))

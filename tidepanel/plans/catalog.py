@@ -11,7 +11,7 @@ from tidepanel.functions.num import canon, lit, signed_log1p
 from tidepanel.functions.windows import CODE, DATE, by_code
 from tidepanel.operators import backtest as bt
 from tidepanel.operators import beta, clean, crosssec, evaluate, flow, fundamentals, indicators, labels, market, ml
-from tidepanel.plans.liquidity import LiquidityConfig, build_filtered, filter_liquid, provenance
+from tidepanel.plans.liquidity import LiquidityConfig, build_filtered, provenance
 from tidepanel.plans.preprocess import PanelConfig, build_features
 from tidepanel.plans.walkforward import WalkForward, WalkForwardConfig
 from tidepanel.sources import panel as src
@@ -183,7 +183,7 @@ def panel_sink_roundtrip(spark, sf):
 def liquidity_provenance(spark, sf):
     df = panel(spark, sf)
     cfg = LiquidityConfig(window_start=FIRST_YEAR, window_end=LAST_YEAR)
-    one = provenance(df, filter_liquid(df, cfg), cfg)
+    one = provenance(df, crosssec.filter_liquid(df), cfg)
     return out(one, one.columns, ())
 
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.functions.windows import by_code
+from tidepanel.functions.ewm import smooth
+from tidepanel.functions.windows import CODE, DATE, by_code, run_stages
 from tidepanel.operators import beta, clean, flow, fundamentals, indicators, labels, market
-from tidepanel.sources.panel import load_panel
+from tidepanel.sources.panel import ORDINAL, load_panel
 from tidepanel.sources.scratch import save
 
 
@@ -35,74 +37,113 @@ class PanelConfig:
 
 
 @dataclass(frozen=True)
-class Step:
+class Family:
+    """Per-code features computed together over few columns: their windows share operators and sorts.
+
+    reads: columns the features may use; all others ride along packed in one struct, so a window
+    operator copies a handful of fields instead of hundreds.
+    """
+
     name: str
+    reads: tuple[str, ...]
     needs: tuple[str, ...]
-    run: Callable[[DataFrame, PanelConfig], DataFrame]
-
-
-def _plain(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, PanelConfig], DataFrame]:
-    return lambda df, _cfg: fn(df)
-
-
-_PRICE, _BARS = ("adj_close",), ("high", "low", "adj_close")
-
-# Steps over one code at a time; together they run on one exchange and few sorts.
-CODE_STEPS = [
-    Step("rsi", _PRICE, _plain(indicators.rsi)),
-    Step("ema", _PRICE, _plain(indicators.ema)),
-    Step("macd", _PRICE, _plain(indicators.macd)),
-    Step("kd", _BARS, _plain(indicators.kd)),
-    Step("atr", _BARS, _plain(indicators.atr)),
-    Step("sma", _PRICE, _plain(indicators.sma)),
-    Step("williams_r", _BARS, _plain(indicators.williams_r)),
-    Step("roc_momentum", _PRICE, _plain(indicators.roc_momentum)),
-    Step("bollinger", _BARS, _plain(indicators.bollinger)),
-    Step("obv", (*_BARS, "volume"), _plain(indicators.obv)),
-    Step("vwap", (*_BARS, "volume"), _plain(indicators.vwap)),
-    Step("volume_ratio", (*_BARS, "volume"), _plain(indicators.volume_ratio)),
-    Step("cci", _BARS, _plain(indicators.cci)),
-    Step("price_derived", (), _plain(flow.price_derived)),
-    Step("momentum_ext", _PRICE, _plain(flow.momentum_ext)),
-    Step("period_to_date_returns", _PRICE, _plain(flow.period_to_date_returns)),
-    Step("flow_basic", (), _plain(flow.flow_basic)),
-    Step("flow_runs", (), _plain(flow.flow_runs)),
-    Step("flow_period_to_date", (), _plain(flow.flow_period_to_date)),
-    Step("flow_buy_days", (), _plain(flow.flow_buy_days)),
-    Step("fundamental_basic", (), _plain(fundamentals.fundamental_basic)),
-    Step("revenue_growth", (), _plain(fundamentals.revenue_growth)),
-    Step("revenue_hist_low", (), _plain(fundamentals.revenue_hist_low)),
-    Step("short_basic", (), lambda df, cfg: fundamentals.short_basic(df, cfg.short_log_transform)),
-    Step("short_change", (), lambda df, cfg: fundamentals.short_change(df, cfg.short_windows)),
-    Step("days_to_cover", (), _plain(fundamentals.days_to_cover)),
-    Step("daily_return_vol", ("adj_close", "market_return"), _plain(beta.daily_return_vol)),
-    Step("capm_betas", ("daily_return", "market_return"), _plain(flow.capm_betas)),
-]
-# Public features that the standard run leaves out.
-EXTENDED_STEPS = [
-    Step("excess_features", ("adj_close", "market_return"), _plain(flow.excess_features)),
-    Step("valuation", (), _plain(fundamentals.valuation)),
-    Step("eps_ttm", (), _plain(fundamentals.eps_ttm)),
-]
-# Steps that look across codes on a date, and the labels that need their output.
-CROSS_STEPS = [
-    Step("shrunk_beta", ("daily_return", "market_return"), lambda df, cfg: beta.shrunk_beta(df, cfg.beta_window)),
-    Step(
-        "labels",
-        ("adj_open", "market_return_fwd", "beta"),
-        lambda df, cfg: labels.add_labels(df, cfg.return_clip, cfg.tick_threshold, cfg.tick0_threshold),
+    run: Callable[[DataFrame, set[str], PanelConfig], DataFrame]
+
+
+_BARS = ("high", "low", "adj_close", "volume")
+
+
+def _smoothing(df: DataFrame, _cols: set[str], _cfg: PanelConfig) -> DataFrame:
+    i = indicators
+    return smooth(df, i.rsi_recipe(), i.ema_recipe(), i.macd_recipe(), i.kd_recipe(), i.atr_recipe())
+
+
+def _prices(df: DataFrame, cols: set[str], _cfg: PanelConfig) -> DataFrame:
+    i = indicators
+    fns = (i.sma, i.williams_r, i.roc_momentum, i.bollinger, i.obv, i.vwap, i.volume_ratio, i.cci, flow.momentum_ext)
+    return run_stages(df, *[f.stages(cols) for f in fns])
+
+
+def _risk(df: DataFrame, cols: set[str], _cfg: PanelConfig) -> DataFrame:
+    # The betas read the daily return, one level later.
+    return run_stages(df, beta.daily_return_vol.stages(cols), [{}, *flow.capm_betas.stages(cols)])
+
+
+def _periods(df: DataFrame, cols: set[str], cfg: PanelConfig) -> DataFrame:
+    parts = [[{}, *flow.period_to_date_returns.stages(cols)], flow.flow_period_to_date.stages(cols)]
+    if cfg.extended:
+        parts.append([{}, *flow.excess_features.stages(cols)])
+    return run_stages(df, *parts)
+
+
+def _flows(df: DataFrame, cols: set[str], cfg: PanelConfig) -> DataFrame:
+    f = fundamentals
+    return run_stages(
+        df,
+        flow.price_derived.stages(cols),
+        flow.flow_basic.stages(cols),
+        flow.flow_buy_days.stages(cols),
+        f.short_basic.stages(cols, cfg.short_log_transform),
+        f.short_change.stages(cols, cfg.short_windows),
+        f.days_to_cover.stages(cols),
+        flow.flow_runs.stages(cols),
+    )
+
+
+def _fundamentals(df: DataFrame, cols: set[str], cfg: PanelConfig) -> DataFrame:
+    f = fundamentals
+    parts = [f.fundamental_basic.stages(cols), f.revenue_growth.stages(cols), f.revenue_hist_low.stages(cols)]
+    if cfg.extended:
+        parts += [f.valuation.stages(cols), f.eps_ttm.stages(cols)]
+    return run_stages(df, *parts)
+
+
+# In an order that keeps families of equal row order next to each other.
+FAMILIES = [
+    Family("smoothing", ("high", "low", "adj_close"), ("high", "low", "adj_close"), _smoothing),
+    Family("prices", _BARS, _BARS, _prices),
+    Family("risk", ("adj_close", "market_return"), ("adj_close", "market_return"), _risk),
+    Family(
+        "fundamentals",
+        (
+            "monthly_revenue", "monthly_revenue_ly_cum", "monthly_revenue_mom", "fii_shares", "eps", "pretax_profit",
+            "market_value", "equity",
+        ),
+        (),
+        _fundamentals,
+    ),
+    Family(
+        "flows",
+        (
+            "high", "low", "close", "volume", "fii_shares", "insider_shares", "intraday_shares", "intraday_sell_pct",
+            "fii_net", "dealer_net", "trust_net", "margin_buy", "margin_sell", "margin_balance", "margin_util",
+            "ms_balance", "ms_limit", "fii_investable", "pbr", "sl_sell_balance", "sl_balance",
+        ),
+        (),
+        _flows,
     ),
-    Step("days_to_cover_rank", (), _plain(fundamentals.days_to_cover_rank)),
-]
+    Family(
+        "periods",
+        ("adj_close", "market_return", "close", "fii_net", "dealer_net", "trust_net"),
+        ("adj_close",),
+        _periods,
+    ),
+]
 
+def _require(name: str, needs: tuple[str, ...], df: DataFrame) -> None:
+    missing = [c for c in needs if c not in df.columns]
+    if missing:
+        raise RuntimeError(f"step {name!r} lacks {missing}")
 
-def run_steps(df: DataFrame, steps: list[Step], cfg: PanelConfig) -> DataFrame:
-    for step in steps:
-        missing = [c for c in step.needs if c not in df.columns]
-        if missing:
-            raise RuntimeError(f"step {step.name!r} lacks {missing}")
-        df = step.run(df, cfg)
-    return df
+
+def run_family(df: DataFrame, family: Family, cfg: PanelConfig) -> DataFrame:
+    _require(family.name, family.needs, df)
+    kept = [c for c in df.columns if c in (CODE, DATE, *family.reads)]
+    rest = [c for c in df.columns if c not in kept]
+    narrow = df.select(*kept, F.struct(*rest).alias("rest")) if rest else df
+    made = family.run(narrow, set(kept), cfg)
+    new = [c for c in made.columns if c not in kept and c != "rest"]
+    return made.select(*kept, *new, *([F.col("rest.*")] if rest else []))
 
 
 def clean_panel(df: DataFrame, ordinal: str) -> DataFrame:
@@ -114,17 +155,38 @@ def clean_panel(df: DataFrame, ordinal: str) -> DataFrame:
     return clean.repair_market(save(clean.densify(df), "dense"))
 
 
+def per_code_features(df: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """All features that look at one code at a time, on one exchange."""
+    df = by_code(df)
+    for family in FAMILIES:
+        df = run_family(df, family, cfg)
+    return df
+
+
 def build_features(df: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """Features and labels of a clean panel with market returns."""
-    steps = CODE_STEPS + (EXTENDED_STEPS if cfg.extended else [])
-    per_code = run_steps(by_code(df), steps, cfg)
-    # The cross-sectional part reads per-code columns several times: written once, not recomputed.
-    return run_steps(save(per_code, "features"), CROSS_STEPS, cfg)
+    """Features and labels of a clean panel with market returns.
+
+    The wide rows are exchanged once, on the code. What looks across codes (variance of betas, rank of
+    days to cover) is computed from a few columns on the side and joined: per-day tables by broadcast, the
+    rank by code and date, on the partitioning that is already there.
+    """
+    out = per_code_features(df, cfg)
+    prices = by_code(df.select(CODE, DATE, "adj_close", "market_return"))
+
+    def with_labels(narrow: DataFrame, _cols: set[str], _cfg: PanelConfig) -> DataFrame:
+        narrow = beta.shrunk_beta(narrow, cfg.beta_window, source=beta.daily_return_vol(prices))
+        return labels.add_labels(narrow, cfg.return_clip, cfg.tick_threshold, cfg.tick0_threshold)
+
+    reads = ("daily_return", "market_return", "market_return_fwd", "adj_open")
+    out = run_family(out, Family("labels", reads, reads, with_labels), cfg)
+    if "days_to_cover" in out.columns:
+        short = by_code(df.select(CODE, DATE, "volume", "sl_sell_balance"))
+        ranks = fundamentals.days_to_cover_rank(fundamentals.days_to_cover(short))
+        out = out.join(by_code(ranks.select(CODE, DATE, "days_to_cover_rank")), [CODE, DATE], "left")
+    return out
 
 
 def preprocess(spark: SparkSession, cfg: PanelConfig) -> DataFrame:
     """The whole run: load, market returns, clean, features, labels."""
-    from tidepanel.sources.panel import ORDINAL
-
     raw = load_panel(spark, cfg.db_dir, cfg.start_year, cfg.end_year, cfg.fmt)
     return build_features(clean_panel(market.add_market_returns(raw, cfg.fwd_basis), ORDINAL), cfg)
