@@ -73,7 +73,8 @@ def ordered_running_sum(
     df = df.withColumns({f"__l_{o}": F.sum(f"__w_{o}").over(local) for o in sums})
     df = df.join(offsets, on)
     df = df.withColumns({o: F.col(f"__l_{o}") + F.col(f"__o_{o}") for o in sums})
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    mine = [f"__{k}_{o}" for k in "wlo" for o in sums] + [f"__k_{g}" for g in group]
+    return df.drop("__part", "__k_part", *mine)
 
 
 def exact_quantile(df: DataFrame, group: list[str], value: str, p: float, out: str, task_rows: int | None = None) -> DataFrame:

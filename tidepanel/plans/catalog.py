@@ -22,6 +22,8 @@ from tidepanel.sources.trades import PANEL_COLUMNS, build_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Outputs of each feature query; together they are the feature table.
+STEP_COLUMNS: dict[str, list[str]] = {}
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 TARGET = "excess_return_tick"
@@ -272,6 +274,7 @@ def step(name: str, fn: Callable[[DataFrame], DataFrame], cols: list[str], base:
 
     run.__name__ = name
     query(run)
+    STEP_COLUMNS[name] = cols
 
 
 def _per(prefix: str, windows: tuple[int, ...]) -> list[str]:
@@ -340,7 +343,6 @@ step("eps_ttm", fundamentals.eps_ttm, ["eps_ttm", "eps_ttm_yoy", "pretax_prev_ye
 @query
 def short_cover(spark, sf):
     df = fundamentals.days_to_cover(by_code(panel(spark, sf).select(CODE, DATE, "volume", "sl_sell_balance")))
-    df = df.withColumn("days_to_cover", F.round("days_to_cover", 9))
     return out(fundamentals.days_to_cover_rank(df), ["days_to_cover", "days_to_cover_rank"])
 
 
@@ -554,10 +556,15 @@ def feature_store(spark: SparkSession, sf: str) -> str:
     return shared_path(spark, f"{sf}/features", lambda p: src.write_years(build_features(market_panel(spark, sf), cfg), p))
 
 
+STEP_COLUMNS["short_cover"] = ["days_to_cover", "days_to_cover_rank"]
+STEP_COLUMNS["beta_vasicek"] = ["daily_return", "vol20", "beta"]
+
+
 @query
 def feature_table(spark, sf):
-    """The whole feature run; the per-step queries above carry the exact checks."""
-    return build_features(market_panel(spark, sf), PanelConfig(FIRST_YEAR, LAST_YEAR, extended=True))
+    """The whole feature run in one plan."""
+    df = build_features(market_panel(spark, sf), PanelConfig(FIRST_YEAR, LAST_YEAR, extended=True))
+    return out(df, [c for cols in STEP_COLUMNS.values() for c in cols])
 
 
 SMALL = ml.GbtParams(rounds=5, max_depth=3, bagging_fraction=0.9, feature_fraction=0.9)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from tidepanel.plans.catalog import COARSE, DECILES, FIRST_YEAR, LAST_YEAR, digits_of
+from tidepanel.plans.catalog import DECILES, FIRST_YEAR, LAST_YEAR, STEP_COLUMNS, digits_of
 from tidepanel.plans.oracle import c, clip, fill, q
 from tidepanel.sources.trades import PANEL_COLUMNS
 
@@ -585,7 +583,7 @@ panel_query(
 ORACLE["short_cover"] = q(
     f"SELECT {sel('code, date', {'days_to_cover': 'dtc', 'days_to_cover_rank': '((rank() OVER (PARTITION BY date ORDER BY dtc)) + ((count(*) OVER (PARTITION BY date, dtc)) - 1) / 2.0) / (count(*) OVER (PARTITION BY date))'})} FROM k2",
     f"k1 AS (SELECT code, date, volume, sl_sell_balance, {roll('avg', 20, 5, 'volume')} AS av FROM panel)",
-    f"k2 AS (SELECT code, date, round({fill(clip('(sl_sell_balance / (coalesce(av, volume) + 1e-9))', 0, 250), 0)}, 9) AS dtc FROM k1)",
+    f"k2 AS (SELECT code, date, {fill(clip('(sl_sell_balance / (coalesce(av, volume) + 1e-9))', 0, 250), 0)} AS dtc FROM k1)",
 )
 panel_query(
     "short_chg",
@@ -797,3 +795,13 @@ ORACLE["cv_folds"] = q(
     'f1 AS (SELECT DISTINCT "window", date FROM tr)',
     'f2 AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY date) AS k, count(*) OVER (PARTITION BY "window") AS n FROM f1)',
 )
+
+# The feature queries side by side, key by key.
+ORACLE["feature_table"] = (
+    "SELECT code, date, "
+    + ", ".join(x for cols in STEP_COLUMNS.values() for x in cols)
+    + " FROM "
+    + " JOIN ".join(
+        f"({ORACLE[n]}) t{i}" + ("" if i == 0 else " USING (code, date)") for i, n in enumerate(STEP_COLUMNS)
+    )
+)

@@ -87,34 +87,41 @@ def latest_date(spark: SparkSession, root: str, start: int, end: int, fmt: str =
 
 
 def write_years(df: DataFrame, root: str, fmt: str = "parquet") -> None:
-    """One directory per year, rows sorted by (code, date); large years are split over many tasks by entity."""
+    """One directory per year, rows sorted by (code, date).
+
+    Codes are bucketed inside the year: a year is spread over many tasks, and a task writes
+    to few years, so the number of files stays near the number of tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.hash(CODE), F.lit(max(1, parts // 10)))
     out = df.withColumn("year", F.year(DATE))
-    out = out.repartition("year", CODE).sortWithinPartitions("year", CODE, DATE)
+    out = out.repartition(parts, "year", bucket).sortWithinPartitions("year", CODE, DATE)
     if fmt == "csv":
         out.write.mode("overwrite").option("header", True).partitionBy("year").csv(root)
     else:
         out.write.mode("overwrite").partitionBy("year").parquet(root)
 
 
-def years_present(spark: SparkSession, root: str) -> list[int]:
-    """Years in a table written by write_years, from its partition names alone."""
+def year_exists(spark: SparkSession, root: str, year: int) -> bool:
+    """Whether a table written by write_years has the year; lists one directory, reads nothing."""
     try:
-        df = spark.read.parquet(root)
-    except AnalysisException:
-        return []
-    return sorted(r["year"] for r in df.select("year").distinct().collect())
+        spark.read.format("binaryFile").load(f"{root}/year={year}")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    return True
 
 
 def read_table_years(spark: SparkSession, root: str, years: Iterable[int], must_exist: bool) -> DataFrame:
     """Partition-pruned read of feature years."""
     years = list(years)
-    present = set(years_present(spark, root))
-    absent = [y for y in years if y not in present]
-    if absent and must_exist:
-        raise FileNotFoundError(f"feature years {absent} are missing below {root}")
-    if len(absent) == len(years):
+    present = [y for y in years if year_exists(spark, root, y)]
+    if must_exist and len(present) < len(years):
+        raise FileNotFoundError(f"feature years {sorted(set(years) - set(present))} are missing below {root}")
+    if not present:
         raise FileNotFoundError(f"no feature year of {years} below {root}")
-    return spark.read.parquet(root).filter(F.col("year").isin(years))
+    return spark.read.parquet(root).filter(F.col("year").isin(present))
 
 
 def window_scan(spark: SparkSession, root: str, start: int, target: str) -> DataFrame:
