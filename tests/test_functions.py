@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import pandas as pd
 import pytest
 from conftest import column
 from pyspark.sql import functions as F
@@ -114,10 +115,9 @@ def test_running_sum_is_the_same_when_a_group_is_split(skewed, monkeypatch):
 def test_average_rank_is_the_same_when_a_group_is_split(skewed, monkeypatch):
     monkeypatch.setattr(ordered, "RANGE_ROWS", 5)
     a = ordered.average_rank(skewed, ["g"], "v", "r", descending=True)
-    b = ordered.average_rank(skewed, ["g"], "v", "r", descending=True, task_rows=0)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
-    import pandas as pd
-
+    for task_rows in (0, 150):  # all values count as hot; the hot group's values are hot, others are not
+        b = ordered.average_rank(skewed, ["g"], "v", "r", descending=True, task_rows=task_rows)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
     pdf = pd.DataFrame(a.collect(), columns=a.columns)
     want = pdf.groupby("g")["v"].rank(ascending=False, method="average")
     assert pdf["r"].tolist() == want.tolist()

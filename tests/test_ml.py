@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators import evaluate, ml
+from tidepanel.plans.liquidity import LiquidityConfig
+from tidepanel.plans.report import BacktestConfig
+from tidepanel.plans.run import TrainRun, backtest, train
 from tidepanel.plans.walkforward import WalkForward, WalkForwardConfig, should_tune
 from tidepanel.sources.panel import write_years
 from tidepanel.sources.results import read_predictions
@@ -137,3 +140,38 @@ def test_oof_leaves_the_first_block_empty(spark, planted):
     got = oof.groupBy("fold").agg(F.count("oof_prob").alias("n"), F.count("*").alias("all")).orderBy("fold").collect()
     assert [(r["fold"], r["n"], r["all"]) for r in got] == [(None, 0, 120), (1, 120, 120), (2, 120, 120), (3, 120, 120)]
     assert len(rounds) == 3 and all(1 <= r <= 3 for r in rounds)
+
+
+def test_train_and_backtest_runs(spark, tmp_path):
+    rng, rows = random.Random(8), []
+    for year in (2017, 2018, 2019):
+        for i in range(30):
+            for c in range(40):
+                x = rng.gauss(0, 1)
+                r = 0.01 * x + rng.gauss(0, 0.01)
+                rows.append((f"c{c:02}", dt.date(year, 1, 1) + dt.timedelta(days=9 * i), x, 5.0 + c, 100.0 + 3 * c * c, r, r, 1.0, 0.001, int(r > 0.01)))
+    df = spark.createDataFrame(
+        rows,
+        "code STRING, date DATE, x DOUBLE, amount DOUBLE, market_value DOUBLE, return DOUBLE, excess_return DOUBLE, "
+        "beta DOUBLE, market_return_fwd DOUBLE, excess_return_tick INT",
+    )
+    write_years(df, str(tmp_path / "f"))
+    run = TrainRun(
+        str(tmp_path / "f"),
+        str(tmp_path / "exp"),
+        window_start=2017,
+        window_end=2019,
+        params_inline={"learning_rate": 0.2, "max_depth": 3},
+        liquidity=LiquidityConfig(keep_ratio=0.5),
+        filtered_root=str(tmp_path / "liq"),
+        diagnostics=True,
+        model=WalkForwardConfig(use_vol_weight=False, n_splits=2, rounds=3),
+    )
+    done = train(spark, run)
+    assert [r.metrics.first()["n_test"] for r in done] == [30 * 20]
+    assert not done[0].metrics.first()["hyperparams_tuned"]
+    tables = backtest(spark, str(tmp_path / "exp"), str(tmp_path / "f"), str(tmp_path / "report"), BacktestConfig(n_deciles=5))
+    top = {r["series"]: r["ann_return"] for r in tables["decile_metrics"].collect()}
+    assert top["D1"] > top["D5"]
+    assert spark.read.json(str(tmp_path / "report" / "liquidity_filter_meta")).first()["rows_after"] == 1800
+    assert spark.read.option("header", True).csv(str(tmp_path / "exp" / "diagnostics" / "labels")).count() == 3600

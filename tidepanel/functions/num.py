@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Added to denominators so that a zero never divides.
 EPS = 1e-9
 
+# Distance of the rounding tie point from the lattice, in units of the last digit kept.
+CANON_SHIFT = 3.7e-4
+
 
 def lit(x: float) -> Column:
     return F.lit(float(x))
@@ -62,4 +65,5 @@ def canon(x: Column, digits: int = 6) -> Column:
     decimal inputs, which often sit exactly on a tie, round alike wherever they
     are computed; adding 0.0 turns a negative zero into zero.
     """
-    return F.round(x + lit(0.00037 * 10.0**-digits), digits) + lit(0.0)
+    scale = lit(10.0**digits)
+    return F.rint(x * scale + lit(CANON_SHIFT)) / scale + lit(0.0)

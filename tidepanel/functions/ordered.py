@@ -114,14 +114,21 @@ def average_rank(
         )
     counts = df.filter(v.isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
     ranked = ordered_running_sum(counts, group, [order], {"__upto": F.col("__c")}, {n: "__upto"}, task_rows)
-    small = ranked.select(
+    ranks = ranked.select(
         *[F.col(g).alias(f"__k_{g}") for g in group],
         v.alias("__k_value"),
+        F.col("__c").alias("__k_c"),
         (F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / F.lit(2.0)).alias(out),
         n,
     )
+    ranks = save(ranks, "ranks")
     on = v == F.col("__k_value")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__k_{g}"))
-    joined = df.join(small, on, "left")
-    return joined.drop(*[c for c in joined.columns if c.startswith("__k_")])
+    # A value that alone fills a task would be a hot join key. There are at most rows / task_rows such values, so
+    # they are joined by broadcast, and only the others by exchange.
+    hot = ranks.filter(F.col("__k_c") > task_rows)
+    heavy = df.join(F.broadcast(hot), on)
+    light = df.join(F.broadcast(hot), on, "left_anti").join(ranks.filter(F.col("__k_c") <= task_rows), on, "left")
+    joined = heavy.unionByName(light)
+    return joined.drop("__k_value", "__k_c", *[f"__k_{g}" for g in group])

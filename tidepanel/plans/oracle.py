@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+from tidepanel.functions.num import CANON_SHIFT
+
 
 def c(x: str, d: int = 6) -> str:
     """Rounding used on both sides; see functions.num.canon."""
-    return f"(round(({x}) + {0.00037 * 10.0**-d!r}, {d}) + 0.0)"
-
-
-def sel(cols: dict[str, str], d: int = 6) -> str:
-    return ", ".join(f"{c(x, d)} AS {n}" for n, x in cols.items())
+    return f"(round(({x}) * 1e{d} + {CANON_SHIFT!r}) / 1e{d} + 0.0)"
 
 
 def fill(x: str, v: float) -> str:

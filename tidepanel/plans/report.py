@@ -48,6 +48,9 @@ def build_report(predictions: DataFrame, market: DataFrame, cfg: BacktestConfig
     }
 
 
-def write_report(tables: dict[str, DataFrame], out: str, fmt: str = "csv") -> None:
+def write_report(tables: dict[str, DataFrame], out: str, fmt: str = "csv", provenance: DataFrame | None = None) -> None:
+    """One folder per table; the filter provenance of the predictions beside them, when known."""
     for name, df in tables.items():
         write_result(df, f"{out}/{name}", fmt)
+    if provenance is not None:
+        write_result(provenance.coalesce(1), f"{out}/liquidity_filter_meta", "json")
