@@ -1,8 +1,9 @@
 """Exponentially weighted means (recursive form) as window sums.
 
-y_1 = x_1, y_t = (1 - a) y_{t-1} + a x_t. Days are cut into calendar blocks; inside a block the recurrence
-is a running sum of x * (1-a)^-j scaled by (1-a)^j, and the block ends before a row are folded
-into the carry. One sort serves every mean and stage, and no Python runs in the executors.
+y_1 = x_1, y_t = (1 - a) y_{t-1} + a x_t. Rows are cut into blocks; inside a block the recurrence is a running sum
+of a x_t (1-a)^-j scaled by (1-a)^j. What comes before the block enters through the block before it alone: blocks
+are so long that older rows weigh less than 1e-20, beyond the digits of a double, yet short enough that the scaling
+does not overflow. Means of similar decay share blocks, sorts and windows.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.num import lit
-from tidepanel.functions.windows import CODE, DATE, run_stages
+from tidepanel.functions.windows import CODE, DATE, entity, run_stages, so_far
 
-# Days in a block; powers of the decay inside one block stay below 1e100.
-MAX_BLOCK_DAYS = 512
+# Decades by which a weight may fall inside a block: at least / at most.
+LEAST_DECADES, MOST_DECADES = 20, 240
 
 
 @dataclass(frozen=True)
@@ -34,53 +35,45 @@ def span(w: int) -> float:
     return 2.0 / (w + 1)
 
 
-def _block_days(specs: list[Ewm]) -> int:
-    slowest_safe = min(int(100 / -math.log10(1 - s.alpha)) for s in specs)
-    return max(1, min(MAX_BLOCK_DAYS, slowest_safe))
+def _block_groups(specs: list[Ewm]) -> list[tuple[int, list[Ewm]]]:
+    """(rows per block, means that may use them), fastest decay first."""
 
+    def decades(s: Ewm) -> float:
+        return -math.log10(1 - s.alpha)
 
-def _fold(decay: float, name: str):
-    return lambda acc, e: acc * F.pow(lit(decay), e["m"]) + e[name]
+    groups, rest = [], sorted(specs, key=decades, reverse=True)
+    while rest:
+        rows = max(1, int(MOST_DECADES / decades(rest[0])))
+        fits = [s for s in rest if s is rest[0] or decades(s) * rows >= LEAST_DECADES]
+        groups.append((rows, fits))
+        rest = [s for s in rest if s not in fits]
+    return groups
 
 
 def ewm(df: DataFrame, specs: list[Ewm]) -> DataFrame:
-    """Add one column per spec. Null inputs give null and do not advance the recurrence."""
+    """Add one column per spec; null inputs give null."""
     inputs = sorted({s.x for s in specs})
-    df = df.withColumn("__blk", F.floor(F.unix_date(F.col(DATE)) / _block_days(specs)))
-    block = Window.partitionBy(CODE, "__blk").orderBy(DATE)
-    to_row = block.rowsBetween(Window.unboundedPreceding, 0)
-    whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # Same sort order as `block`, so both window kinds share one sort.
-    series = Window.partitionBy(CODE).orderBy("__blk", DATE)
-    prior = series.rowsBetween(Window.unboundedPreceding, -1)
-
-    pos = {}
-    for x in inputs:
-        pos[f"__j_{x}"] = F.when(F.col(x).isNotNull(), F.count(x).over(to_row) - 1)
-        pos[f"__m_{x}"] = F.count(x).over(whole)
-        pos[f"__g_{x}"] = F.count(x).over(prior)
-    df = df.withColumns(pos)
-
-    local = {}
-    for s in specs:
-        x, j = F.col(s.x), F.col(f"__j_{s.x}")
-        w = lit(s.alpha) if s.seed is not None else F.when(F.col(f"__g_{s.x}") == 0, lit(1)).otherwise(lit(s.alpha))
-        local[f"__s_{s.out}"] = F.pow(lit(1 - s.alpha), j) * F.sum(w * x * F.pow(lit(1 - s.alpha), -j)).over(to_row)
-    df = df.withColumns(local)
-
-    # Values at the last observation of each earlier block, one list per input.
-    ends = {}
-    for x in inputs:
-        is_end = F.col(f"__j_{x}") == F.col(f"__m_{x}") - 1
-        values = [F.col(f"__s_{s.out}").alias(s.out) for s in specs if s.x == x]
-        ends[f"__e_{x}"] = F.collect_list(F.when(is_end, F.struct(F.col(f"__m_{x}").alias("m"), *values))).over(prior)
-    df = df.withColumns(ends)
-
-    out = {}
-    for s in specs:
-        carry = F.aggregate(F.col(f"__e_{s.x}"), lit(s.seed or 0.0), _fold(1 - s.alpha, s.out))
-        out[s.out] = F.col(f"__s_{s.out}") + carry * F.pow(lit(1 - s.alpha), F.col(f"__j_{s.x}") + 1)
-    return df.withColumns(out).drop("__blk", *pos, *local, *ends)
+    seen = {f"__seen_{x}": F.count(x).over(so_far()) for x in inputs}
+    df = df.withColumns({"__row": F.row_number().over(entity()) - 1} | seen)
+    for rows, group in _block_groups(specs):
+        j = F.pmod(F.col("__row"), F.lit(rows))
+        df = df.withColumn("__blk", F.floor(F.col("__row") / rows))
+        to_row = Window.partitionBy(CODE, "__blk").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+        # Same sort order, so both window kinds share one sort.
+        prior = Window.partitionBy(CODE).orderBy("__blk", DATE).rowsBetween(Window.unboundedPreceding, -1)
+        local, ends, out = {}, {}, {}
+        for s in group:
+            x, decay = F.col(s.x), lit(1 - s.alpha)
+            start = x if s.seed is None else lit(s.alpha) * x + decay * lit(s.seed)
+            term = F.when(F.col(f"__seen_{s.x}") == 1, start).otherwise(lit(s.alpha) * x)
+            term = F.when(x.isNotNull(), term)
+            local[f"__s_{s.out}"] = F.pow(decay, j) * F.sum(term * F.pow(decay, -j)).over(to_row)
+            end = F.when(j == rows - 1, F.col(f"__s_{s.out}"))
+            ends[f"__e_{s.out}"] = F.last(end, ignorenulls=True).over(prior)
+            carry = F.coalesce(F.col(f"__e_{s.out}") * F.pow(decay, j + 1), lit(0))
+            out[s.out] = F.when(x.isNotNull(), F.col(f"__s_{s.out}") + carry)
+        df = df.withColumns(local).withColumns(ends).withColumns(out).drop("__blk", *local, *ends)
+    return df.drop("__row", *seen)
 
 
 @dataclass(frozen=True)

@@ -24,8 +24,8 @@ def rsi_recipe() -> Smoothing:
     for w in TREND_DAYS:
         specs += [Ewm(f"__g{w}", "__gain", 1 / w), Ewm(f"__l{w}", "__loss", 1 / w)]
         value = lit(100) - lit(100) / (lit(1) + ratio(F.col(f"__g{w}"), F.col(f"__l{w}")))
-        out[f"RSI_{w}"] = fill(F.when(F.col("__row") > w, value), -1)
-    before = {"__gain": clip(d, low=0), "__loss": -clip(d, high=0), "__row": F.row_number().over(entity())}
+        out[f"RSI_{w}"] = fill(F.when(F.col("__nth") > w, value), -1)
+    before = {"__gain": clip(d, low=0), "__loss": -clip(d, high=0), "__nth": F.row_number().over(entity())}
     return Smoothing(before, specs, {}, [], [out])
 
 

@@ -16,7 +16,7 @@ from tidepanel.plans.preprocess import PanelConfig, build_features
 from tidepanel.plans.walkforward import WalkForward, WalkForwardConfig
 from tidepanel.sources import panel as src
 from tidepanel.sources.naming import RAW_TO_PANEL
-from tidepanel.sources.results import market_series_from_files, merge_predictions
+from tidepanel.sources.results import market_series_from_files, merge_predictions, read_predictions
 from tidepanel.sources.scratch import shared, shared_path
 from tidepanel.sources.trades import PANEL_COLUMNS, build_panel
 
@@ -612,30 +612,31 @@ def random_search(spark, sf):
     return trials
 
 
-def _walk(spark, sf) -> WalkForward:
-    cfg = WalkForwardConfig(
-        window_start=FIRST_YEAR,
-        window_end=LAST_YEAR,
-        n_splits=2,
-        rounds=3,
-        depth_cap=3,
-        features=MODEL_FEATURES,
-        preset_params={"learning_rate": 0.1, "max_depth": 3, "min_data_in_leaf": 20},
-    )
-    return WalkForward(spark, feature_store(spark, sf), cfg)
+def walk_output(spark: SparkSession, sf: str) -> str:
+    """Folder of one walk-forward run over all windows."""
+
+    def run(path: str) -> None:
+        cfg = WalkForwardConfig(
+            window_start=FIRST_YEAR,
+            window_end=LAST_YEAR,
+            n_splits=2,
+            rounds=3,
+            depth_cap=3,
+            features=MODEL_FEATURES,
+            preset_params={"learning_rate": 0.1, "max_depth": 3, "min_data_in_leaf": 20},
+            output_dir=path,
+        )
+        WalkForward(spark, feature_store(spark, sf), cfg).run()
+
+    return shared_path(spark, f"{sf}/walk", run)
 
 
 @query
 def walk_forward(spark, sf):
     """Predictions of every window, merged to one row per key."""
-    parts = [r.predictions for r in _walk(spark, sf).run()]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return merge_predictions(both)
+    return merge_predictions(read_predictions(spark, f"{walk_output(spark, sf)}/predictions"))
 
 
 @query
 def walk_forward_summary(spark, sf):
-    walk = _walk(spark, sf)
-    return walk.summary(walk.run())
+    return spark.read.option("header", True).option("inferSchema", True).csv(f"{walk_output(spark, sf)}/walk_forward_summary")
