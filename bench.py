@@ -53,7 +53,8 @@ def main() -> None:
             continue
         timed(name, lambda f=fn: f(spark, SF_DIR).write.format("noop").mode("overwrite").save())
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
+    sf = os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")
+    print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": times, "sf": sf}))
     spark.stop()
 
 

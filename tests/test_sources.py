@@ -5,7 +5,6 @@ import pytest
 from conftest import column
 from pyspark.sql import functions as F
 
-from tidepanel.functions import ordered
 from tidepanel.operators import beta, clean
 from tidepanel.plans.liquidity import LiquidityConfig, build_filtered, read_provenance
 from tidepanel.plans.preprocess import PanelConfig, preprocess
@@ -95,9 +94,18 @@ def test_filtered_folder_is_reused_with_provenance(spark, tmp_path):
 
 def test_scratch_uses_the_configured_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "_folders", {})
-    spark.conf.set("tidepanel.unused", "1")
-    before = scratch.folder(spark)
-    assert before == scratch.folder(spark)
+    conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: str(tmp_path))})()
+    named = type("Session", (), {"sparkContext": spark.sparkContext, "conf": conf})()
+    assert scratch.folder(named).startswith(str(tmp_path))
+    assert scratch.folder(named) == scratch.folder(named)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    monkeypatch.setattr(scratch, "_folders", {})
+    conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})()
+    context = type("Context", (), {"applicationId": "x", "master": "yarn", "getConf": staticmethod(lambda: conf)})()
+    with pytest.raises(RuntimeError):
+        scratch.folder(type("Session", (), {"sparkContext": context, "conf": conf})())
 
 
 def test_next_code_value_is_the_same_when_codes_are_split(spark, monkeypatch):

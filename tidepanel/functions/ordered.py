@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.sources.scratch import save
 
-# Largest group a single window task may hold.
-TASK_ROWS = 4_000_000
+# Largest group a single window task may hold; callers pass narrow rows.
+TASK_ROWS = 1_000_000
 # Rows aimed at per range partition.
 RANGE_ROWS = 1_000_000
 
