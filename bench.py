@@ -45,7 +45,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - t, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
 
-    for name in ("panel", "labelled", "predictions", "series_wide", "feature_years"):
+    for name in ("panel", "labelled", "predictions", "series_wide", "feature_years", "feature_store"):
         timed(f"build_{name}", lambda n=name: getattr(catalog, n)(spark, SF_DIR))
     only = sys.argv[1:]
     for name, fn in catalog.QUERIES.items():

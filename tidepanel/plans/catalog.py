@@ -30,8 +30,10 @@ TARGET = "excess_return_tick"
 # Wide amounts are compared to fewer digits: a double carries about 16.
 COARSE = {
     "amount", "market_value", "equity", "monthly_revenue", "monthly_revenue_ly_cum", "pretax_profit",
-    "pretax_prev_year", "rev_ly_cum_k", "margin_buy_amt_k",
+    "rev_ly_cum_k", "margin_buy_amt_k",
 }
+# Rolling sums over a year of such amounts.
+WHOLE = {"pretax_prev_year"}
 
 
 def query(fn: Query) -> Query:
@@ -40,7 +42,7 @@ def query(fn: Query) -> Query:
 
 
 def digits_of(name: str) -> int:
-    return 2 if name in COARSE else 6
+    return 0 if name in WHOLE else 2 if name in COARSE else 6
 
 
 def out(df: DataFrame, cols: list[str], keys: tuple[str, ...] = (CODE, DATE)) -> DataFrame:
