@@ -1,0 +1,9 @@
+"""The same words and prose for all tests of this folder."""
+
+import importlib.util
+import os
+
+_spec = importlib.util.spec_from_file_location("llm_conftest", os.path.join(os.path.dirname(__file__), "conftest.py"))
+_module = importlib.util.module_from_spec(_spec)
+_spec.loader.exec_module(_module)
+prose, words = _module.prose, _module.words

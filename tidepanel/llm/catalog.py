@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import decontaminate, rendezvous, streaming_dedup
+import corpus_pipeline
+from tidepanel.llm import (
+    bitplanes, decontaminate, hilbert_packing, licenses, lsh_forest, pairwise_quality, rendezvous, streaming_dedup, suffixes, warc,
+)
 
 QUERIES = {
+    "op1_bit_planes": bitplanes.query,
+    "op2_license_scan": licenses.query,
     "op3_streaming_dedup": streaming_dedup.query,
     "op4_rendezvous_shards": rendezvous.query,
     "op5_benchmark_decontamination": decontaminate.query,
+    "op6_pairwise_quality": pairwise_quality.query,
+    "op7_warc_derivatives": warc.query,
+    "op8_lsh_forest_join": lsh_forest.query,
+    "op9_sparse_suffixes": suffixes.query,
+    "op10_hilbert_packing": hilbert_packing.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
+    "op2_license_scan": licenses.SQL,
     "op3_streaming_dedup": streaming_dedup.SQL,
     "op4_rendezvous_shards": rendezvous.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

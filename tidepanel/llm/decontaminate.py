@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.words import SEPARATOR, UPPER, row_key, text_of, words_of
+from tidepanel.llm.words import SEPARATOR, UPPER, fresh, row_key, text_of, words_of
 from tidepanel.sources.scratch import save
 
 #: Test windows up to which the set is broadcast (about 250 bytes each); more are joined by exchange.
@@ -107,25 +107,26 @@ def judge(hits: DataFrame) -> DataFrame:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns. Nothing else of a row is used or changed."""
-    bad = judge(find_hits(docs, benchmark, size)).filter("contaminated").select(F.col("key").alias("__bad")).distinct()
-    keyed = docs.withColumn("__key", row_key(docs))
-    return keyed.join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+    key, other = fresh(docs, "key"), fresh(docs, "bad")
+    bad = judge(find_hits(docs, benchmark, size)).filter("contaminated").select(F.col("key").alias(other)).distinct()
+    return docs.withColumn(key, row_key(docs)).join(bad, F.col(key) == F.col(other), "left_anti").drop(key)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     """docs with the hit words cut out of the text. The separators before a cut word go with it."""
-    spans = judge(find_hits(docs, benchmark, size)).filter("n_hit > 0").select(F.col("key").alias("__hit"), "spans").dropDuplicates(["__hit"])
-    keyed = docs.withColumn("__key", row_key(docs)).join(spans, F.col("__key") == F.col("__hit"), "left")
+    key, other, hit = fresh(docs, "key"), fresh(docs, "hit"), fresh(docs, "hit_spans")
+    spans = judge(find_hits(docs, benchmark, size)).filter("n_hit > 0").select(F.col("key").alias(other), F.col("spans").alias(hit))
+    keyed = docs.withColumn(key, row_key(docs)).join(spans.dropDuplicates([other]), F.col(key) == F.col(other), "left")
     # Separators and words of the text as it is: a text is gap 0, word 0, gap 1, word 1, ..., last gap.
     upper_too = SEPARATOR.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     words = F.array_remove(F.split("text", upper_too), "")
     gaps = F.split("text", f"[0-9a-z{UPPER}\\x{{80}}-\\x{{10FFFF}}]+")
-    cut = F.filter(
+    left = F.filter(
         F.sequence(F.lit(0), F.size(words) - 1),
-        lambda i: ~F.exists("spans", lambda s: (s["from"] <= i) & (i < s["to"])),
+        lambda i: ~F.exists(hit, lambda s: (s["from"] <= i) & (i < s["to"])),
     )
-    rebuilt = F.concat(F.concat_ws("", F.transform(cut, lambda i: F.concat(F.get(gaps, i), F.get(words, i)))), F.element_at(gaps, -1))
-    return keyed.withColumn("text", F.when(F.col("spans").isNotNull(), rebuilt).otherwise(F.col("text"))).drop("__key", "__hit", "spans")
+    rebuilt = F.concat(F.concat_ws("", F.transform(left, lambda i: F.concat(F.get(gaps, i), F.get(words, i)))), F.element_at(gaps, -1))
+    return keyed.withColumn("text", F.when(F.col(hit).isNotNull(), rebuilt).otherwise(F.col("text"))).drop(key, other, hit)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

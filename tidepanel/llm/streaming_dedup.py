@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.words import text_of
+from tidepanel.llm.words import fresh, text_of
 from tidepanel.sources.scratch import folder, save
 
 #: Bytes of landed fingerprints that a micro-batch takes.
@@ -41,13 +41,13 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with __file and __row; docs that are no file scan are written first."""
+def located(docs: DataFrame, file: str = "__file", row: str = "__row") -> DataFrame:
+    """docs with the file and row number of each row; docs that are no file scan are written first."""
+    place = {file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")}
     try:
-        return docs.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+        return docs.withColumns(place)
     except AnalysisException:
-        again = save(docs, "documents")
-        return again.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+        return save(docs, "documents").withColumns(place)
 
 
 def fingerprints(docs: DataFrame, digest=sha256) -> DataFrame:
@@ -89,7 +89,7 @@ def keyed_state(spark: SparkSession, path: str, schema, checkpoint: str) -> Data
 def classes(docs: DataFrame, digest=sha256) -> DataFrame:
     """One row per document: doc_id, file, row, digest, best (the row that stays), n (rows of the class), part (null, or the bytes' own class)."""
     spark = docs.sparkSession
-    docs = located(docs)
+    docs = docs if "__file" in docs.columns else located(docs)
     prints = save(fingerprints(docs, digest), "fingerprints")
     if prints.isEmpty():
         return prints.select("doc_id", "file", "row", "digest", _order().alias("best"), F.lit(1).cast("long").alias("n"))
@@ -114,11 +114,18 @@ def _stays() -> Column:
     return (F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))
 
 
+def keep_rows(docs: DataFrame, gone) -> DataFrame:
+    """docs less the rows that gone(doc_id and text of docs) lists by file and row."""
+    file, row, f, r = (fresh(docs, n) for n in ("file", "row", "gone_file", "gone_row"))
+    columns = docs.columns
+    docs = located(docs, file, row)
+    lost = gone(docs.select("doc_id", "text", F.col(file).alias("__file"), F.col(row).alias("__row"))).select(F.col("file").alias(f), F.col("row").alias(r))
+    return docs.join(lost, (F.col(file) == F.col(f)) & (F.col(row) == F.col(r)), "left_anti").select(*columns)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    docs = located(docs)
-    gone = classes(docs.drop("__file", "__row")).filter(~_stays()).select(F.col("file").alias("__f"), F.col("row").alias("__r"))
-    return docs.join(gone, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")), "left_anti").drop("__file", "__row")
+    return keep_rows(docs, lambda d: classes(d).filter(~_stays()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

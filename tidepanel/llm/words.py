@@ -37,6 +37,14 @@ def row_key(df: DataFrame, *more: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x01", *parts, text_of())))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[128:] = _LETTER[ord("0") : ord("9") + 1] = _LETTER[ord("a") : ord("z") + 1] = True
 _LOWER = np.arange(256, dtype=np.uint8)
