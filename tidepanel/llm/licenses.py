@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.words import SEPARATOR, ascii_lower, row_key, text_of, words_of
+from tidepanel.llm.words import SEPARATOR, ascii_lower, row_key, text_of
 from tidepanel.sources.scratch import save
 
 #: Phrase -> label.
@@ -67,15 +67,20 @@ def _places(words: Column, phrase: str) -> Column:
 def base_places(docs: DataFrame, phrases: dict[str, str] | None = None) -> DataFrame:
     """doc_id, key, n_words, n_base, first_word, last_word, base (array of labels): one row per row of docs."""
     phrases = PHRASES if phrases is None else phrases
-    # Words between single blanks: a text without the phrase in it costs one search and no array.
-    flat = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(text_of()), SEPARATOR, " "), F.lit(" "))
-    rows = docs.select("doc_id", row_key(docs).alias("key"), F.trim(flat).alias("flat"))
+    # Words between single blanks: a text without a phrase in it costs one search and no array.
+    flat = F.trim(F.regexp_replace(ascii_lower(text_of()), SEPARATOR, " "))
+    rows = docs.select("doc_id", row_key(docs).alias("key"), flat.alias("flat"))
     padded = F.concat(F.lit(" "), "flat", F.lit(" "))
     none = F.array().cast("array<int>")
-    places = [F.when(padded.contains(f" {p} "), _places(F.split("flat", " "), p)).otherwise(none).alias(f"p{i}") for i, p in enumerate(phrases)]
+    has = [padded.contains(f" {p} ").alias(f"has{i}") for i, p in enumerate(phrases)]
     blanks = F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit("")))
     n_words = F.when(F.col("flat") == "", 0).otherwise(blanks + 1).cast("long")
-    found = rows.select("doc_id", "key", n_words.alias("n_words"), *places)
+    rows = rows.select("doc_id", "key", "flat", n_words.alias("n_words"), *has)
+    # The array is a column of its own: inside the search it would be made anew for every word.
+    some = reduce(lambda x, y: x | y, [F.col(f"has{i}") for i in range(len(has))], F.lit(False))
+    rows = rows.withColumn("w", F.when(some, F.split("flat", " ")))
+    places = [F.when(F.col(f"has{i}"), _places(F.col("w"), p)).otherwise(none).alias(f"p{i}") for i, p in enumerate(phrases)]
+    found = rows.select("doc_id", "key", "n_words", *places)
     columns = [f"p{i}" for i in range(len(phrases))]
     every = F.concat(*columns) if columns else none
     labels = [F.when(F.size(c) > 0, F.lit(v)) for c, v in zip(columns, phrases.values())]
@@ -92,7 +97,7 @@ def blocks_of(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """key, block, b: the distinct template words of each line that has any, lines counted from 0."""
     lines = docs.select(row_key(docs).alias("key"), F.posexplode(F.split(ascii_lower(text_of()), LINE)).alias("block", "line"))
     known = F.array(*map(F.lit, vocabulary))
-    return lines.select("key", "block", F.array_intersect(words_of(F.col("line")), known).alias("b")).filter(F.size("b") > 0)
+    return lines.select("key", "block", F.array_intersect(F.split("line", SEPARATOR), known).alias("b")).filter(F.size("b") > 0)
 
 
 def matches(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
