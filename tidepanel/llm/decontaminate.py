@@ -117,16 +117,23 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> Da
     key, other, hit = fresh(docs, "key"), fresh(docs, "hit"), fresh(docs, "hit_spans")
     spans = judge(find_hits(docs, benchmark, size)).filter("n_hit > 0").select(F.col("key").alias(other), F.col("spans").alias(hit))
     keyed = docs.withColumn(key, row_key(docs)).join(spans.dropDuplicates([other]), F.col(key) == F.col(other), "left")
-    # Separators and words of the text as it is: a text is gap 0, word 0, gap 1, word 1, ..., last gap.
+    # Separators and words of the text as it is: a text is gap 0, word 0, gap 1, word 1, ..., last gap. They are columns of
+    # their own, since inside a lambda they would be made anew for every word.
+    gap, word = fresh(docs, "gap"), fresh(docs, "word")
     upper_too = SEPARATOR.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
-    words = F.array_remove(F.split("text", upper_too), "")
-    gaps = F.split("text", f"[0-9a-z{UPPER}\\x{{80}}-\\x{{10FFFF}}]+")
+    found = F.col(hit).isNotNull()
+    keyed = keyed.withColumns(
+        {
+            word: F.when(found, F.array_remove(F.split("text", upper_too), "")),
+            gap: F.when(found, F.split("text", f"[0-9a-z{UPPER}\\x{{80}}-\\x{{10FFFF}}]+")),
+        }
+    )
     left = F.filter(
-        F.sequence(F.lit(0), F.size(words) - 1),
+        F.sequence(F.lit(0), F.size(word) - 1),
         lambda i: ~F.exists(hit, lambda s: (s["from"] <= i) & (i < s["to"])),
     )
-    rebuilt = F.concat(F.concat_ws("", F.transform(left, lambda i: F.concat(F.get(gaps, i), F.get(words, i)))), F.element_at(gaps, -1))
-    return keyed.withColumn("text", F.when(F.col(hit).isNotNull(), rebuilt).otherwise(F.col("text"))).drop(key, other, hit)
+    rebuilt = F.concat(F.concat_ws("", F.transform(left, lambda i: F.concat(F.get(gap, i), F.get(word, i)))), F.element_at(gap, -1))
+    return keyed.withColumn("text", F.when(found, rebuilt).otherwise(F.col("text"))).drop(key, other, hit, gap, word)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
