@@ -19,8 +19,8 @@ from tidepanel.plans import catalog  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-# Slow by the number of model fits, and covered by gbt_fit_predict.
-SKIP = {"walk_forward_summary", "score_evaluate", "feature_importance", "random_search", "oof_probabilities", "walk_forward"}
+# The same run as another query, or the sum of steps that are timed one by one.
+SKIP = {"walk_forward_rows", "walk_forward_metrics", "oof_pattern", "preprocess_run", "clean_run"}
 
 
 def main() -> None:

@@ -78,10 +78,17 @@ def test_market_returns_without_index(spark):
     assert df.first().asDict() == {"code": "a", "date": D[0], "market_return": 0.0, "market_return_fwd": 0.0}
 
 
-def test_market_forward_open_basis(spark):
-    rows = [("a", d, 1.0, o) for d, o in zip(D, (10.0, 20.0, 30.0, 60.0), strict=True)]
-    df = spark.createDataFrame(rows, "code STRING, date DATE, market_index DOUBLE, market_open DOUBLE")
-    assert column(market.market_series(df, "open"), "market_return_fwd", ("date",)) == pytest.approx([0.5, 1.0, None, None])
+def test_market_index_of_a_day_is_that_of_the_first_code(spark):
+    rows = [("b", D[0], 1.0), ("a", D[0], None), ("c", D[0], 9.0), ("b", D[1], 7.0), ("a", D[1], 2.0)]
+    df = spark.createDataFrame(rows, "code STRING, date DATE, market_index DOUBLE").repartition(4)
+    assert column(market.market_series(df), "market_return", ("date",)) == [None, 1.0]
+
+
+def test_densify_carries_decimals(spark):
+    rows = [("a", D[0], 1.0, "1.5"), ("a", D[2], 2.0, None), ("b", D[1], 3.0, "2.5")]
+    df = spark.createDataFrame(rows, "code STRING, date DATE, adj_close DOUBLE, x STRING").withColumn("x", F.col("x").cast("decimal(10,2)"))
+    got = {(r["code"], r["date"]): float(r["x"]) for r in clean.densify(df).collect()}
+    assert [got["a", d] for d in D[:3]] == [1.5, 1.5, 1.5] and got["b", D[2]] == 2.5
 
 
 def test_repair_market(spark):

@@ -42,6 +42,23 @@ def test_ewm_equals_loop_across_blocks(series, alpha):
     assert got == pytest.approx(want, rel=1e-11, abs=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [1 / 3, span(60), 0.9])
+def test_ewm_over_gaps_equals_data_frames(series, alpha):
+    rng = random.Random(2)
+    xs = [None if rng.random() < 0.3 or 40 < i < 90 else rng.uniform(1, 5) for i in range(900)]
+    got = column(ewm(series({"a": [{"x": x} for x in xs]}), [Ewm("y", "x", alpha)]), "y")
+    want = pd.Series(xs, dtype=float).ewm(alpha=alpha, adjust=False).mean()
+    assert [v is None for v in got] == want.isna().tolist()
+    assert [v for v in got if v is not None] == pytest.approx(want.dropna().tolist(), rel=1e-10)
+
+
+def test_seeded_mean_passes_over_gaps(series):
+    rows = [{"x": x} for x in (None, 80, None, None, 20)]
+    got = column(ewm(series({"a": rows}), [Ewm("k", "x", 1 / 3, seed=50.0)]), "k")
+    assert got[0] is got[2] is got[3] is None
+    assert [got[1], got[4]] == pytest.approx([60, 60 * 2 / 3 + 20 / 3])
+
+
 def test_ewm_seed(series):
     df = ewm(series({"a": [{"x": None}, {"x": 80}, {"x": 20}]}), [Ewm("k", "x", 1 / 3, seed=50.0)])
     assert column(df, "k")[1:] == pytest.approx([60, 60 * 2 / 3 + 20 / 3])

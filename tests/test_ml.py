@@ -85,6 +85,7 @@ def test_retune_policy():
     assert [should_tune(fixed, p, i) for i, p in enumerate([None, {}, {}], 1)] == [True, False, False]
     assert [should_tune(every2, {}, i) for i in (1, 2, 3)] == [True, False, True]
     assert should_tune(free, {}, 5)
+    assert [should_tune(WalkForwardConfig(retune_every_n=1), {}, i) for i in (1, 2, 3)] == [True, True, True]
 
 
 def test_parameters_ignore_what_has_no_counterpart():
@@ -117,7 +118,7 @@ def planted(spark, tmp_path_factory):
 
 def test_walk_forward_learns_and_skips_a_missing_year(spark, planted, tmp_path):
     cfg = WalkForwardConfig(
-        window_start=2017, window_end=2021, n_trials=1, n_splits=2, rounds=3, depth_cap=3, output_dir=str(tmp_path)
+        window_start=2017, window_end=2021, n_trials=1, n_splits=2, rounds=3, search_rounds=3, patience=2, output_dir=str(tmp_path)
     )
     walk = WalkForward(spark, planted, cfg)
     done = walk.run()
@@ -136,12 +137,54 @@ def test_walk_forward_learns_and_skips_a_missing_year(spark, planted, tmp_path):
 def test_oof_leaves_the_first_block_empty(spark, planted):
     df = spark.read.parquet(planted).filter("year = 2017")
     rows = ml.assemble(df, ["x", "noise"], ["code", "date", "excess_return_tick"])
-    oof, rounds = ml.oof_probabilities(rows, "excess_return_tick", ml.GbtParams(rounds=3, max_depth=2), 3, early_stopping=True)
+    oof, rounds = ml.oof_probabilities(rows, "excess_return_tick", ml.GbtParams(rounds=3, max_depth=2), 3, patience=2)
     got = oof.groupBy("fold").agg(F.count("oof_prob").alias("n"), F.count("*").alias("all")).orderBy("fold").collect()
     assert [(r["fold"], r["n"], r["all"]) for r in got] == [(None, 0, 120), (1, 120, 120), (2, 120, 120), (3, 120, 120)]
     assert len(rounds) == 3 and all(1 <= r <= 3 for r in rounds)
 
 
+def test_a_shorter_run_is_the_beginning_of_a_longer_one(spark, planted):
+    df = spark.read.parquet(planted).filter("year = 2017")
+    rows = ml.assemble(df, ["x", "noise"], ["code", "date", "excess_return_tick"]).withColumn("__y", F.col("excess_return_tick").cast("double"))
+    params = {"max_depth": 2, "bagging_fraction": 0.7, "feature_fraction": 0.5}
+    short, long = (ml.fit_gbt(rows, "excess_return_tick", ml.GbtParams(rounds=n, **params)).evaluateEachIteration(rows) for n in (3, 6))
+    assert long[:3] == pytest.approx(short)
+
+
+def test_patience_keeps_many_trees_at_a_low_rate(spark, planted):
+    df = spark.read.parquet(planted)
+    rows = ml.assemble(df, ["x", "noise"], ["code", "date", "excess_return_tick", "year"])
+    train, valid = rows.filter("year < 2019"), rows.filter("year = 2019")
+    slow = ml.fit_with_patience(train, valid, "excess_return_tick", ml.GbtParams(learning_rate=0.02, max_depth=2, rounds=24), patience=3)
+    fast = ml.fit_with_patience(train, valid, "excess_return_tick", ml.GbtParams(learning_rate=1.0, max_depth=5, min_data_in_leaf=1, rounds=24), patience=3)
+    assert slow.getNumTrees == 24 and fast.getNumTrees < 24
+
+
+def test_best_round():
+    assert ml.best_round([5, 4, 3, 3, 3, 3], 3) == (3, True)
+    assert ml.best_round([5, 4, 3, 3, 2], 3) == (5, False)
+    with pytest.raises(ValueError):
+        ml.fit_gbt(None, "y", ml.GbtParams(max_depth=31))
+
+
+def test_stored_parameters_are_taken_as_given(spark, planted):
+    df = spark.read.parquet(planted).filter("year = 2017")
+    rows = ml.assemble(df, ["x", "noise"], ["code", "date", "excess_return_tick"])
+    model = ml.fit_gbt(rows, "excess_return_tick", ml.GbtParams.from_mapping({"max_depth": 18, "min_data_in_leaf": 1, "rounds": 1}))
+    assert model.getOrDefault("maxDepth") == 18 and model.trees[0].depth > 8
+
+
+def test_feature_list_and_weight_column_in_a_window(spark, planted, tmp_path):
+    names = tmp_path / "names.csv"
+    names.write_text("feature\nx\ngone\n")
+    cfg = WalkForwardConfig(
+        window_start=2017, window_end=2019, rounds=2, n_splits=2, feature_list_path=str(names), preset_params={"max_depth": 2}
+    )
+    done = WalkForward(spark, planted, cfg).run()
+    assert {r["feature"] for r in done[0].importance.collect()} == {"x", "vol20"}
+    assert done[0].metrics.first()["vol_weight_col"] == "vol20"
+
+
 def test_train_and_backtest_runs(spark, tmp_path):
     rng, rows = random.Random(8), []
     for year in (2017, 2018, 2019):

@@ -49,10 +49,10 @@ def test_window_scan_prunes_partitions(spark, tmp_path):
 def test_params_and_feature_list(spark, tmp_path):
     f = tmp_path / "p.json"
     f.write_text(json.dumps({"max_depth": 3}))
-    assert src.load_params(path=str(f)) == {"max_depth": 3}
-    assert src.load_params(inline={"a": 1}) == {"a": 1}
+    assert src.load_params(spark, path=str(f)) == {"max_depth": 3}
+    assert src.load_params(spark, inline={"a": 1}) == {"a": 1}
     with pytest.raises(ValueError):
-        src.load_params(inline={})
+        src.load_params(spark, inline={})
     names = tmp_path / "features.csv"
     names.write_text("feature\nx\ny\nx\ncode\n")
     assert src.feature_list(spark, str(names), ["beta", "y"], {"code"}) == ["x", "y", "beta"]
@@ -76,6 +76,28 @@ def test_market_series(spark, tmp_path):
     assert read_market_series(spark, str(tmp_path)).first()["market_return_fwd"] == 0.5
 
 
+def test_yearly_csv_features(spark, tmp_path):
+    rows = [(f"0{c}", dt.date(y, 5, c + 1), None if c == 2 else 1.5 * c, 0.1 * c, c % 2) for y in (2018, 2019, 2020) for c in range(4)]
+    df = spark.createDataFrame(rows, "code STRING, date DATE, x DOUBLE, market_return_fwd DOUBLE, t INT")
+    root = str(tmp_path / "f")
+    src.write_years(df, root, "csv")
+    back = src.window_scan(spark, root, 2018, "t", "csv")
+    key = lambda r: (r["code"], r["date"])
+    got = sorted(back.select("code", "date", "x", "t", "year").collect(), key=key)
+    assert [(r["code"], r["date"], r["x"], r["t"], r["year"]) for r in got] == sorted((c, d, x, t, d.year) for c, d, x, _, t in rows)
+    assert src.range_scan(spark, root, 2010, 2019, "t", "csv").count() == 8
+    with pytest.raises(FileNotFoundError):
+        src.window_scan(spark, root, 2019, "t", "csv")
+    series = read_market_series(spark, root, fmt="csv")
+    assert series.count() == 12 and series.agg(F.sum("market_return_fwd")).first()[0] == pytest.approx(1.8)
+
+
+def test_a_cached_series_without_the_column_is_an_error(spark, tmp_path):
+    (tmp_path / "market_return_series.csv").write_text("date,other\n2020-01-01,0.5\n")
+    with pytest.raises(Exception, match="market_return_fwd"):
+        read_market_series(spark, str(tmp_path))
+
+
 def test_filtered_folder_is_reused_with_provenance(spark, tmp_path):
     rows = [(f"c{i}", dt.date(y, 3, 1), float(i + 1), float(50 - i), 1) for y in (2018, 2019) for i in range(20)]
     df = spark.createDataFrame(rows, "code STRING, date DATE, amount DOUBLE, market_value DOUBLE, excess_return_tick INT")

@@ -1,9 +1,12 @@
 """Exponentially weighted means (recursive form) as window sums.
 
-y_1 = x_1, y_t = (1 - a) y_{t-1} + a x_t. Rows are cut into blocks; inside a block the recurrence is a running sum
-of a x_t (1-a)^-j scaled by (1-a)^j. What comes before the block enters through the block before it alone: blocks
-are so long that older rows weigh less than 1e-20, beyond the digits of a double, yet short enough that the scaling
-does not overflow. Means of similar decay share blocks, sorts and windows.
+Unseeded means follow the rule of data frames: the first value starts the mean; a missing value carries the mean on and ages it, so that
+the next value x after m rows gives (d y + a x) / (d + a) with d = (1 - a)^m. Seeded means follow a loop that starts from
+the seed and passes over missing values: those neither age the mean nor have one.
+
+Both are y = y_before exp(-step) + gain x, a running sum of gain x exp(L) scaled by exp(-L), where L is the running sum of the
+steps. Rows are cut into blocks so that the scaling does not overflow. What comes before a block enters exactly, as the sum over the ends of all
+earlier blocks; a code has a handful of them. All means share blocks, sorts and windows.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.num import lit
-from tidepanel.functions.windows import CODE, DATE, entity, run_stages, so_far
+from tidepanel.functions.windows import CODE, DATE, before, entity, lead, run_stages, so_far
 
-# Decades by which a weight may fall inside a block: at least / at most.
-LEAST_DECADES, MOST_DECADES = 20, 240
+# Decades by which the fastest mean of a run may age inside a block.
+MOST_DECADES = 240
 
 
 @dataclass(frozen=True)
@@ -35,45 +38,52 @@ def span(w: int) -> float:
     return 2.0 / (w + 1)
 
 
-def _block_groups(specs: list[Ewm]) -> list[tuple[int, list[Ewm]]]:
-    """(rows per block, means that may use them), fastest decay first."""
-
-    def decades(s: Ewm) -> float:
-        return -math.log10(1 - s.alpha)
-
-    groups, rest = [], sorted(specs, key=decades, reverse=True)
-    while rest:
-        rows = max(1, int(MOST_DECADES / decades(rest[0])))
-        fits = [s for s in rest if s is rest[0] or decades(s) * rows >= LEAST_DECADES]
-        groups.append((rows, fits))
-        rest = [s for s in rest if s not in fits]
-    return groups
-
-
 def ewm(df: DataFrame, specs: list[Ewm]) -> DataFrame:
-    """Add one column per spec; null inputs give null."""
+    """Add one column per spec."""
     inputs = sorted({s.x for s in specs})
-    seen = {f"__seen_{x}": F.count(x).over(so_far()) for x in inputs}
-    df = df.withColumns({"__row": F.row_number().over(entity()) - 1} | seen)
-    for rows, group in _block_groups(specs):
-        j = F.pmod(F.col("__row"), F.lit(rows))
-        df = df.withColumn("__blk", F.floor(F.col("__row") / rows))
-        to_row = Window.partitionBy(CODE, "__blk").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
-        # Same sort order, so both window kinds share one sort.
-        prior = Window.partitionBy(CODE).orderBy("__blk", DATE).rowsBetween(Window.unboundedPreceding, -1)
-        local, ends, out = {}, {}, {}
-        for s in group:
-            x, decay = F.col(s.x), lit(1 - s.alpha)
-            start = x if s.seed is None else lit(s.alpha) * x + decay * lit(s.seed)
-            term = F.when(F.col(f"__seen_{s.x}") == 1, start).otherwise(lit(s.alpha) * x)
-            term = F.when(x.isNotNull(), term)
-            local[f"__s_{s.out}"] = F.pow(decay, j) * F.sum(term * F.pow(decay, -j)).over(to_row)
-            end = F.when(j == rows - 1, F.col(f"__s_{s.out}"))
-            ends[f"__e_{s.out}"] = F.last(end, ignorenulls=True).over(prior)
-            carry = F.coalesce(F.col(f"__e_{s.out}") * F.pow(decay, j + 1), lit(0))
-            out[s.out] = F.when(x.isNotNull(), F.col(f"__s_{s.out}") + carry)
-        df = df.withColumns(local).withColumns(ends).withColumns(out).drop("__blk", *local, *ends)
-    return df.drop("__row", *seen)
+    # Means of one input, weight and rule age alike.
+    kinds = list(dict.fromkeys((s.x, s.alpha, s.seed is None) for s in specs))
+    kept = df.columns
+    df = df.withColumns({"__row": F.row_number().over(entity())} | {f"__seen_{x}": F.count(x).over(so_far()) for x in inputs})
+    df = df.withColumns({f"__at_{x}": F.max(F.when(F.col(x).isNotNull(), F.col("__row"))).over(before()) for x in inputs})
+    step, gain = {}, {}
+    for k, (x, alpha, aged) in enumerate(kinds):
+        m = (F.col("__row") - F.col(f"__at_{x}")) if aged else F.lit(1)
+        excess = F.pow(lit(1 - alpha), m) - lit(1 - alpha)  # 0 without a gap
+        later = F.col(x).isNotNull() & (F.col(f"__seen_{x}") > 1)
+        step[f"__step_{k}"] = F.when(later, lit(-math.log(1 - alpha)) * m + F.log1p(excess)).otherwise(lit(0))
+        gain[k] = F.when(F.col(f"__seen_{x}") > 1, lit(alpha) / (lit(1) + excess)).otherwise(lit(1))
+    df = df.withColumns(step)
+    fastest = F.greatest(*step) if len(step) > 1 else F.col("__step_0")
+    block = F.floor(F.sum(fastest).over(so_far()) / lit(MOST_DECADES * math.log(10)))
+    df = df.withColumns({f"__age_{k}": F.sum(f"__step_{k}").over(so_far()) for k in range(len(kinds))} | {"__blk": block})
+    df = df.withColumn("__end", F.coalesce(lead(F.col("__blk")) != F.col("__blk"), F.lit(False)))
+    to_row = Window.partitionBy(CODE, "__blk").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+    # Same sort order, so both window kinds share one sort.
+    prior = Window.partitionBy(CODE).orderBy("__blk", DATE).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({f"__zero_{k}": F.first(f"__age_{k}").over(to_row) for k in range(len(kinds))})
+    local = {}
+    for i, s in enumerate(specs):
+        k, x = kinds.index((s.x, s.alpha, s.seed is None)), F.col(s.x)
+        first = x if s.seed is None else lit(s.alpha) * x + lit((1 - s.alpha) * s.seed)
+        term = F.when(F.col(f"__seen_{s.x}") == 1, first).otherwise(gain[k] * x)
+        young = F.col(f"__age_{k}") - F.col(f"__zero_{k}")
+        local[f"__sum_{i}"] = F.exp(-young) * F.sum(F.when(x.isNotNull(), term) * F.exp(young)).over(to_row)
+    df = df.withColumns(local)
+    ends = F.struct(*[F.col(f"__age_{k}") for k in range(len(kinds))], *[F.coalesce(c, lit(0)).alias(c) for c in local])
+    df = df.withColumn("__ends", F.collect_list(F.when(F.col("__end"), ends)).over(prior))
+    out = {}
+
+    def carried(i: int, k: int) -> Column:
+        return F.aggregate("__ends", lit(0), lambda acc, e: acc + e[f"__sum_{i}"] * F.exp(e[f"__age_{k}"] - F.col(f"__age_{k}")))
+
+    for i, s in enumerate(specs):
+        k = kinds.index((s.x, s.alpha, s.seed is None))
+        carry = carried(i, k)
+        has = (F.col(f"__seen_{s.x}") > 0) if s.seed is None else F.col(s.x).isNotNull()
+        value = F.coalesce(F.col(f"__sum_{i}"), lit(0)) + F.when(F.size("__ends") > 0, carry).otherwise(lit(0))
+        out[s.out] = F.when(has, value)
+    return df.withColumns(out).select(*kept, *[c for c in out if c not in kept])
 
 
 @dataclass(frozen=True)

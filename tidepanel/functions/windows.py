@@ -144,8 +144,8 @@ def moments(tag: str, pairs: dict[str, Column], lengths: list[int]) -> Stages:
 
 def rolling_beta(tag: str, y: str, x: str, specs: dict[str, tuple[int, int]]) -> Stages:
     """cov(y, x) / (var(x) + 1e-9) over several long frames; specs: output -> (rows, least rows)."""
-    both = F.col(y).isNotNull() & F.col(x).isNotNull()
-    yy, xx = F.col(y), F.col(x)
+    yy, xx = finite(F.col(y)), finite(F.col(x))
+    both = yy.isNotNull() & xx.isNotNull()
     pairs = {"y": F.when(both, yy), "x": F.when(both, xx), "yx": yy * xx, "v": xx, "vv": xx * xx}
     sums = moments(tag, pairs, sorted({w for w, _ in specs.values()}))
     out = {}

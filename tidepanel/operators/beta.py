@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.num import clip, fill, lit, safe_div
+from tidepanel.functions.num import clip, div_ieee, fill, finite, lit
 from tidepanel.functions.ordered import RANGE_ROWS, TASK_ROWS
 from tidepanel.functions.windows import (
     CODE,
@@ -26,8 +26,9 @@ from tidepanel.sources.scratch import save
 @feature
 def daily_return_vol(cols: set[str]) -> Stages:
     x = F.col("adj_close")
-    vol = roll(F.stddev_samp, 20, 10, F.col("daily_return")) * lit(math.sqrt(252))
-    return [{"daily_return": fill(safe_div(x, lag(x)) - 1, 0)}, {"vol20": fill(vol, 0)}]
+    # An infinite return (from a zero price) counts as missing here.
+    vol = roll(F.stddev_samp, 20, 10, finite(F.col("daily_return"))) * lit(math.sqrt(252))
+    return [{"daily_return": fill(div_ieee(x, lag(x)) - 1, 0)}, {"vol20": fill(vol, 0)}]
 
 
 def next_code_value(df: DataFrame, value: str, task_rows: int | None = None) -> DataFrame:

@@ -15,7 +15,6 @@ LIQ_W1 = 0.1004
 LIQ_W2 = 0.1896
 LIQ_KEEP_RATIO = 0.20
 
-SCORE_DIGITS = 9
 
 
 def assign_deciles(df: DataFrame, n: int = 10, score: str = "y_prob", task_rows: int | None = None) -> DataFrame:
@@ -69,13 +68,10 @@ def _liquidity_values(df: DataFrame) -> dict[str, Column]:
 def liquidity_score(
     df: DataFrame, w1: float = LIQ_W1, w2: float = LIQ_W2, days: DataFrame | None = None
 ) -> DataFrame:
-    """w1 Z(ln amount) + w2 Z(ln market value) + (1 - w1 - w2) Z(ln turnover); NULL where an input is not positive.
-
-    Rounded to SCORE_DIGITS, so that names of equal liquidity tie on every run.
-    """
+    """w1 Z(ln amount) + w2 Z(ln market value) + (1 - w1 - w2) Z(ln turnover); NULL where an input is not positive."""
     df = with_zscores(df, _liquidity_values(df), days)
     score = lit(w1) * F.col("__z1") + lit(w2) * F.col("__z2") + lit(1.0 - w1 - w2) * F.col("__z3")
-    return df.withColumn("liq_score", F.round(score, SCORE_DIGITS) + lit(0)).drop("__z1", "__z2", "__z3")
+    return df.withColumn("liq_score", score).drop("__z1", "__z2", "__z3")
 
 
 def _with_liquidity_share(df: DataFrame, task_rows: int | None) -> DataFrame:
@@ -132,7 +128,8 @@ def vol_rank_weights(df: DataFrame, group: list[str], vol: str = "vol20", task_r
     """
     median = exact_quantile(df, group, vol, 0.5, "__median", task_rows)
     if group:
-        df = df.join(median, group, "left")
+        # One row per group; the groups are the training windows.
+        df = df.join(F.broadcast(median), group, "left")
     else:
         df = df.withColumn("__k", F.lit(1)).join(median.withColumn("__k", F.lit(1)), "__k", "left")
     df = df.withColumn("__vol", F.coalesce(F.col(vol), F.col("__median")))

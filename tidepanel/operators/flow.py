@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidepanel.functions.num import clip, fill, lit, ratio, safe_div
+from tidepanel.functions.num import clip, div_ieee, fill, lit, ratio
 from tidepanel.functions.windows import (
     Stages,
     cumsum_in,
@@ -49,9 +49,9 @@ def price_derived(cols: set[str]) -> Stages:
 @feature
 def momentum_ext(cols: set[str]) -> Stages:
     x = F.col(PX)
-    out = {"log_return": fill(F.ln(safe_div(x, lag(x)) + lit(1e-9)), 0)}
+    out = {"log_return": fill(F.ln(div_ieee(x, lag(x)) + lit(1e-9)), 0)}
     for w in (21, 63, 252):
-        out[f"ret_{w}"] = fill(clip(safe_div(x, lag(x, w)) - 1, -0.99, 10), 0)
+        out[f"ret_{w}"] = fill(clip(div_ieee(x, lag(x, w)) - 1, -0.99, 10), 0)
     return [out, {"ret_21_pct": F.col("ret_21") * 100}]
 
 
@@ -154,7 +154,7 @@ def flow_buy_days(cols: set[str]) -> Stages:
 def excess_features(cols: set[str]) -> Stages:
     """Daily and week-to-date returns in excess of the market, both up to the row only."""
     x = F.col(PX)
-    ret = fill(clip(safe_div(x, lag(x)) - 1, -0.5, 0.5), 0)
+    ret = fill(clip(div_ieee(x, lag(x)) - 1, -0.5, 0.5), 0)
     growth = F.product(lit(1) + F.col("market_return")).over(to_date_in("week"))
     return [
         {"ret_1d": ret, "__own_wtd": ratio(x, first_in(x, "week")) - 1, "__mkt_wtd": growth - 1},

@@ -12,7 +12,7 @@ from tidepanel.functions.windows import CODE, DATE, by_code
 from tidepanel.operators import backtest as bt
 from tidepanel.operators import beta, clean, crosssec, evaluate, flow, fundamentals, indicators, labels, market, ml
 from tidepanel.plans.liquidity import LiquidityConfig, build_filtered, provenance
-from tidepanel.plans.preprocess import PanelConfig, build_features
+from tidepanel.plans.preprocess import PanelConfig, build_features, clean_panel, preprocess
 from tidepanel.plans.walkforward import WalkForward, WalkForwardConfig
 from tidepanel.sources import panel as src
 from tidepanel.sources.naming import RAW_TO_PANEL
@@ -27,6 +27,8 @@ STEP_COLUMNS: dict[str, list[str]] = {}
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 TARGET = "excess_return_tick"
+# Features that the panel profile counts, by the names of their steps.
+PROFILE = {"indicators": ("ta_", "beta_vasicek", "capm_"), "short": ("short_",)}
 # Wide amounts are compared to fewer digits: a double carries about 16.
 COARSE = {
     "amount", "market_value", "equity", "monthly_revenue", "monthly_revenue_ly_cum", "pretax_profit",
@@ -117,9 +119,7 @@ def feature_years(spark: SparkSession, sf: str) -> str:
 @query
 def panel_scan(spark, sf):
     """Yearly raw tables under feed names, read back over a range that includes absent years."""
-    to_raw = {v: k for k, v in RAW_TO_PANEL.items() if v in PANEL_COLUMNS}
-    root = shared_path(spark, f"{sf}/raw_years", lambda p: src.write_years(panel(spark, sf).withColumnsRenamed(to_raw), p))
-    df = src.load_panel(spark, root, FIRST_YEAR - 1, LAST_YEAR + 1)
+    df = src.load_panel(spark, raw_years(spark, sf), FIRST_YEAR - 1, LAST_YEAR + 1)
     return out(df, [c for c in PANEL_COLUMNS if c not in (CODE, DATE)])
 
 
@@ -224,8 +224,37 @@ def numeric_salvage(spark, sf):
 
 @query
 def calendar_densify(spark, sf):
-    df = panel(spark, sf).select(CODE, DATE, "adj_close", "close", "volume", "amount", "market_value", "fii_net", "monthly_revenue", "eps")
-    return out(clean.densify(df), ["adj_close", "close", "volume", "amount", "market_value", "fii_net", "monthly_revenue", "eps"])
+    """All measures of the panel on every day."""
+    return out(clean.densify(panel(spark, sf)), [c for c in PANEL_COLUMNS if c not in (CODE, DATE)])
+
+
+def raw_years(spark, sf) -> str:
+    """Yearly raw tables under feed names."""
+    to_raw = {v: k for k, v in RAW_TO_PANEL.items() if v in PANEL_COLUMNS}
+    return shared_path(spark, f"{sf}/raw_years", lambda p: src.write_years(panel(spark, sf).withColumnsRenamed(to_raw), p))
+
+
+@query
+def clean_run(spark, sf):
+    """Load, market returns and the whole cleaning; an almost empty column goes."""
+    raw = src.load_panel(spark, raw_years(spark, sf), FIRST_YEAR, LAST_YEAR)
+    raw = raw.withColumn("junk", F.when((F.col(CODE) == "1") & (F.dayofmonth(DATE) == 1), lit(1)))
+    df = clean_panel(market.add_market_returns(raw), src.ORDINAL)
+    return out(df, sorted(c for c in df.columns if c not in (CODE, DATE)))
+
+
+@query
+def preprocess_run(spark, sf):
+    """The whole run over all codes, years and measures: load, clean, densify, features, labels."""
+    return preprocess(spark, PanelConfig(FIRST_YEAR, LAST_YEAR, raw_years(spark, sf), extended=True))
+
+
+@query
+def feature_csv_roundtrip(spark, sf):
+    """Features and labels written as yearly CSV and read back over all years."""
+    root = shared_path(spark, f"{sf}/feature_csv", lambda p: src.write_years(labelled(spark, sf), p, "csv"))
+    df = src.range_scan(spark, root, FIRST_YEAR - 1, LAST_YEAR + 1, TARGET, "csv")
+    return out(df, ["year", "amount", "adj_close", "vol20", "beta", "return", "excess_return", TARGET])
 
 
 @query
@@ -354,12 +383,36 @@ def beta_vasicek(spark, sf):
     return out(beta.shrunk_beta(beta.daily_return_vol(by_code(df))), ["daily_return", "vol20", "beta"])
 
 
-@query
-def signed_log1p_flow(spark, sf):
+def fii_signed_log(spark, sf):
     return out(panel(spark, sf).select(CODE, DATE, signed_log1p(F.col("fii_net")).alias("fii_signed_log")), ["fii_signed_log"])
 
 
-QUERIES["signed_log1p"] = QUERIES.pop("signed_log1p_flow")
+QUERIES["signed_log1p"] = fii_signed_log
+
+
+def gappy(spark, sf) -> DataFrame:
+    """The panel's bars with a price missing in one row of five, and zero in one of seven."""
+    k = F.col("volume").cast("bigint")
+    px = F.when(k % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("adj_close"))
+    zero = F.when(k % 7 == 0, lit(0)).otherwise(F.col("adj_close"))
+    return panel(spark, sf).select(CODE, DATE, "high", "low", px.alias("adj_close"), zero.alias("with_zero"))
+
+
+@query
+def ta_gaps(spark, sf):
+    """Exponential means over missing prices."""
+    df = indicators.kd(indicators.ema(by_code(gappy(spark, sf).drop("with_zero"))))
+    return out(df, ["EMA_5", "EMA_60", "K", "D"])
+
+
+@query
+def returns_of_zero_prices(spark, sf):
+    """A return on a price of zero is infinite, or the bound where it is bounded."""
+    df = gappy(spark, sf).select(CODE, DATE, F.col("with_zero").alias("adj_close"), lit(0).alias("market_return"))
+    df = beta.daily_return_vol(flow.excess_features(flow.momentum_ext(by_code(df))))
+    inf = F.lit(float("inf"))
+    flags = {"log_infinite": F.col("log_return") == inf, "daily_infinite": F.col("daily_return") == inf}
+    return out(df.withColumns({k: v.cast("int") for k, v in flags.items()}), ["ret_21", "ret_63", "ret_252", "ret_1d", "vol20", *flags])
 
 
 # --- labels --------------------------------------------------------------------------------------------------------
@@ -393,7 +446,8 @@ def label_histogram(spark, sf):
 
 @query
 def panel_profile(spark, sf):
-    one = evaluate.panel_profile(labelled(spark, sf))
+    of = {k: [c for n, cols in STEP_COLUMNS.items() if n.startswith(v) for c in cols] for k, v in PROFILE.items()}
+    one = evaluate.panel_profile(labelled(spark, sf), of["indicators"], of["short"])
     return out(one, one.columns, ())
 
 
@@ -533,7 +587,7 @@ def _train_rows(spark, sf, *cols: str) -> DataFrame:
 
 @query
 def vol_rank_weights(spark, sf):
-    df = _train_rows(spark, sf, "vol20").withColumn("vol20", F.when(F.col("vol20") > 0, F.round("vol20", 9)))
+    df = _train_rows(spark, sf, "vol20").withColumn("vol20", F.round("vol20", 9))
     return out(crosssec.vol_rank_weights(df, ["window"]), ["vol20", "weight"], ("window", CODE, DATE))
 
 
@@ -542,12 +596,6 @@ def cv_folds(spark, sf):
     return ml.cv_folds(_train_rows(spark, sf), 3, ["window"])
 
 
-MODEL_FEATURES = [
-    "RSI_5", "RSI_20", "Price_SMA20_Ratio", "ROC_5", "Momentum_5", "ATR_14_Pct", "BB_PctB_20", "KD_Diff",
-    "hl_spread", "ret_21", "vol20", "beta", "capm_beta_21",
-]
-
-
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """All features and labels of the panel, by year."""
     return spark.read.parquet(feature_store(spark, sf))
@@ -569,13 +617,24 @@ def feature_table(spark, sf):
     return out(df, [c for cols in STEP_COLUMNS.values() for c in cols])
 
 
+# The model queries read all rows and all features. Their rounds are few, so that a run over every query ends in minutes; the
+# defaults of the operators are the full ones.
 SMALL = ml.GbtParams(rounds=5, max_depth=3, bagging_fraction=0.9, feature_fraction=0.9)
 SPLIT_YEAR = LAST_YEAR
 
 
 def _model_rows(spark, sf, keep: tuple[str, ...] = ("return",)) -> DataFrame:
-    df = features(spark, sf).filter(F.col(TARGET).isNotNull())
-    return ml.assemble(df, MODEL_FEATURES, [CODE, DATE, TARGET, *keep])
+    """Assembled once: every fit reads all features."""
+
+    def build() -> DataFrame:
+        df = features(spark, sf).filter(F.col(TARGET).isNotNull())
+        return ml.assemble(df, model_features(spark, sf), [CODE, DATE, TARGET, "return"])
+
+    return shared(spark, f"{sf}/model_rows", build).select(CODE, DATE, TARGET, *keep, "features")
+
+
+def model_features(spark, sf) -> list[str]:
+    return ml.resolve_features(features(spark, sf), ml.LIVE_NOT_FEATURES)
 
 
 def _fit(spark, sf):
@@ -599,18 +658,28 @@ def score_evaluate(spark, sf):
 @query
 def feature_importance(spark, sf):
     _, model = _fit(spark, sf)
-    return ml.feature_importance(spark, model, MODEL_FEATURES)
+    return ml.feature_importance(spark, model, model_features(spark, sf))
 
 
 @query
 def oof_probabilities(spark, sf):
-    oof, _ = ml.oof_probabilities(_model_rows(spark, sf, ()), TARGET, SMALL, 3)
-    return oof
+    def build() -> DataFrame:
+        return ml.oof_probabilities(_model_rows(spark, sf, ()), TARGET, SMALL, 3)[0]
+
+    return shared(spark, f"{sf}/oof", build)
+
+
+@query
+def oof_pattern(spark, sf):
+    """What is fixed about the out-of-fold table: keys, folds, labels, and which rows have a probability."""
+    p = F.col("oof_prob")
+    fine = F.when(p.isNotNull(), (p > 0) & (p < 1))
+    return QUERIES["oof_probabilities"](spark, sf).select(CODE, DATE, "fold", F.col(TARGET).alias("y_true"), p.isNotNull().alias("has_prob"), fine.alias("is_prob"))
 
 
 @query
 def random_search(spark, sf):
-    _, trials = ml.random_search(_model_rows(spark, sf, ()), TARGET, n_trials=2, n_splits=2, rounds=3, depth_cap=4)
+    _, trials = ml.random_search(_model_rows(spark, sf, ()), TARGET, n_trials=2, n_splits=2, rounds=4, patience=2)
     return trials
 
 
@@ -621,11 +690,11 @@ def walk_output(spark: SparkSession, sf: str) -> str:
         cfg = WalkForwardConfig(
             window_start=FIRST_YEAR,
             window_end=LAST_YEAR,
+            n_trials=1,
             n_splits=2,
             rounds=3,
-            depth_cap=3,
-            features=MODEL_FEATURES,
-            preset_params={"learning_rate": 0.1, "max_depth": 3, "min_data_in_leaf": 20},
+            search_rounds=3,
+            patience=2,
             output_dir=path,
         )
         WalkForward(spark, feature_store(spark, sf), cfg).run()
@@ -639,6 +708,26 @@ def walk_forward(spark, sf):
     return merge_predictions(read_predictions(spark, f"{walk_output(spark, sf)}/predictions"))
 
 
+@query
+def walk_forward_rows(spark, sf):
+    """What is fixed about the predictions: keys, windows, labels and returns."""
+    df = QUERIES["walk_forward"](spark, sf)
+    return out(df.withColumn("is_prob", (F.col("y_prob") > 0) & (F.col("y_prob") < 1)), ["window", "return", "y_true", "is_prob"])
+
+
+@query
+def walk_forward_metrics(spark, sf):
+    """The window metrics, computed again from the stored predictions, against the summary that the run wrote."""
+    again = evaluate.classifier_metrics(QUERIES["walk_forward"](spark, sf), ["window"]).select("window", F.col("n_test").alias("n"), F.col("accuracy").alias("a"))
+    kept = QUERIES["walk_forward_summary"](spark, sf).select("window", "n_test", "accuracy", "test_year", "hyperparams_tuned")
+    both = kept.join(F.broadcast(again), "window")  # one row per window
+    return both.select(
+        "window", F.col("test_year").cast("int").alias("test_year"), F.col("n_test").cast("long").alias("n_test"),
+        ((F.col("n") == F.col("n_test")) & (F.abs(F.col("a") - F.col("accuracy")) < 1e-9)).alias("agrees"),
+        F.col("hyperparams_tuned").cast("boolean").alias("tuned"),
+    )
+
+
 @query
 def walk_forward_summary(spark, sf):
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{walk_output(spark, sf)}/walk_forward_summary")

@@ -87,7 +87,7 @@ MARKET = (
     "mkt AS MATERIALIZED (SELECT date, mr AS market_return, lead(mr) OVER (ORDER BY date) AS market_return_fwd FROM mret)",
     "mp AS MATERIALIZED (SELECT p.*, coalesce(m.market_return, 0) AS market_return, "
     "coalesce(m.market_return_fwd, 0) AS market_return_fwd FROM panel p LEFT JOIN mkt m USING (date))",
-    f"dr AS MATERIALIZED (SELECT *, {fill('adj_close / nullif(' + lag('adj_close') + ', 0) - 1', 0)} AS daily_return FROM mp)",
+    f"dr AS MATERIALIZED (SELECT *, {fill(ieee('adj_close', lag('adj_close')) + ' - 1', 0)} AS daily_return FROM mp)",
 )
 
 
@@ -235,7 +235,7 @@ def liquidity(src: str) -> tuple[str, ...]:
         f"l1 AS (SELECT *, CASE WHEN amount > 0 THEN ln(amount) END AS la, CASE WHEN market_value > 0 THEN ln(market_value) END AS lm, "
         f"CASE WHEN amount > 0 AND market_value > 0 THEN ln(amount / market_value) END AS lt FROM {src})",
         f"l2 AS (SELECT *, {z_ln('la')} AS z1, {z_ln('lm')} AS z2, {z_ln('lt')} AS z3 FROM l1)",
-        f"l3 AS (SELECT *, round({num(w1)} * z1 + {num(w2)} * z2 + {num(1.0 - w1 - w2)} * z3, 9) + 0.0 AS liq_score FROM l2)",
+        f"l3 AS (SELECT *, {num(w1)} * z1 + {num(w2)} * z2 + {num(1.0 - w1 - w2)} * z3 AS liq_score FROM l2)",
         "l4 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY liq_score DESC NULLS LAST, code) AS lrk, "
         "count(liq_score) OVER (PARTITION BY date) AS lsize FROM l3)",
         "liq AS MATERIALIZED (SELECT *, liq_score IS NOT NULL AND coalesce(CAST(lrk AS DOUBLE) / nullif(lsize, 0) <= "
@@ -275,15 +275,27 @@ ORACLE["numeric_salvage"] = q(
     + ")",
     *MESSY,
 )
-DENSE = ["close", "volume", "amount", "market_value", "fii_net", "monthly_revenue", "eps"]
-ORACLE["calendar_densify"] = q(
-    f"SELECT {sel('code, date', {'adj_close': 'adj_close'} | plain(DENSE))} FROM g3",
-    "g1 AS (SELECT c.code, d.date, p.* EXCLUDE (code, date) FROM (SELECT DISTINCT code FROM panel) c "
-    "CROSS JOIN (SELECT DISTINCT date FROM panel) d LEFT JOIN panel p ON p.code = c.code AND p.date = d.date)",
-    "g2 AS (SELECT *, min(CASE WHEN adj_close IS NOT NULL THEN date END) OVER (PARTITION BY code) AS f FROM g1)",
-    f"g3 AS (SELECT code, date, last_value(adj_close IGNORE NULLS) OVER {UPTO} AS adj_close, "
-    + ", ".join(f"coalesce(last_value({m} IGNORE NULLS) OVER {UPTO}, 0) AS {m}" for m in DENSE)
-    + " FROM g2 WHERE f IS NULL OR date >= f)",
+DENSE = [m for m in MEASURES if m != "adj_close"]
+
+
+def dense(src: str, measures: list[str]) -> tuple[str, ...]:
+    return (
+        f"g1 AS (SELECT c.code, d.date, p.* EXCLUDE (code, date) FROM (SELECT DISTINCT code FROM {src}) c "
+        f"CROSS JOIN (SELECT DISTINCT date FROM {src}) d LEFT JOIN {src} p ON p.code = c.code AND p.date = d.date)",
+        "g2 AS (SELECT *, min(CASE WHEN adj_close IS NOT NULL THEN date END) OVER (PARTITION BY code) AS f FROM g1)",
+        f"g3 AS (SELECT code, date, last_value(adj_close IGNORE NULLS) OVER {UPTO} AS adj_close, "
+        + ", ".join(f"coalesce(last_value({m} IGNORE NULLS) OVER {UPTO}, 0) AS {m}" for m in measures)
+        + " FROM g2 WHERE f IS NULL OR date >= f)",
+    )
+
+
+ORACLE["calendar_densify"] = q(f"SELECT {sel('code, date', {'adj_close': 'adj_close'} | plain(DENSE))} FROM g3", *dense("panel", DENSE))
+CLEANED = [*DENSE, "market_return", "market_return_fwd"]
+ORACLE["clean_run"] = q(f"SELECT {sel('code, date', {'adj_close': 'adj_close'} | plain(CLEANED))} FROM g3", *MARKET, *dense("mp", CLEANED))
+CSV_COLUMNS = ["amount", "adj_close", "vol20", "beta", "return", "excess_return"]
+ORACLE["feature_csv_roundtrip"] = q(
+    f"SELECT {sel('code, date', plain(CSV_COLUMNS))}, CAST(year(date) AS INTEGER) AS year, CAST(excess_return_tick AS DOUBLE) AS excess_return_tick FROM labelled",
+    *BETA,
 )
 OBV = (
     f"o1 AS (SELECT *, coalesce(sign(adj_close - {lag('adj_close')}) * volume, 0) AS st FROM panel)",
@@ -654,7 +666,7 @@ ORACLE["label_histogram"] = q(f"{histogram('return')} UNION ALL {histogram('exce
 ORACLE["panel_profile"] = q(
     f"SELECT count(*) AS n_rows, count(DISTINCT code) AS n_codes, min(date) AS first_date, max(date) AS last_date, "
     f"{c('avg(beta)')} AS beta_mean, {c('stddev_samp(beta)')} AS beta_std, {c('avg(vol20)')} AS vol20_mean, "
-    f"{c('stddev_samp(vol20)')} AS vol20_std, 7 AS n_indicator_columns, 0 AS n_short_columns FROM labelled",
+    f"{c('stddev_samp(vol20)')} AS vol20_std, 3 AS n_indicator_columns, 0 AS n_short_columns FROM labelled",
     *BETA,
 )
 
@@ -779,7 +791,7 @@ ORACLE["f1_threshold"] = q(
 TRAIN = (
     *BETA,
     PLAN,
-    'tr AS MATERIALIZED (SELECT "window", code, date, CASE WHEN vol20 > 0 THEN round(vol20, 9) END AS vol20 FROM labelled JOIN wins '
+    'tr AS MATERIALIZED (SELECT "window", code, date, round(vol20, 9) AS vol20 FROM labelled JOIN wins '
     "ON year(date) = y AND role = 'train' WHERE excess_return_tick IS NOT NULL)",
 )
 ORACLE["vol_rank_weights"] = q(
@@ -796,6 +808,59 @@ ORACLE["cv_folds"] = q(
     'f2 AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY date) AS k, count(*) OVER (PARTITION BY "window") AS n FROM f1)',
 )
 
+ORACLE["oof_pattern"] = q(
+    "SELECT r.code, r.date, CASE WHEN k > n - 3 * (n // 4) AND n > 3 THEN CAST((k - 1 - (n - 3 * (n // 4))) // (n // 4) + 1 AS INTEGER) END AS fold, "
+    "excess_return_tick AS y_true, k > n - 3 * (n // 4) AS has_prob, CASE WHEN k > n - 3 * (n // 4) THEN true END AS is_prob "
+    "FROM (SELECT * FROM labelled WHERE excess_return_tick IS NOT NULL) r JOIN f2 ON f2.date = r.date",
+    *BETA,
+    "f1 AS (SELECT DISTINCT date FROM labelled WHERE excess_return_tick IS NOT NULL)",
+    "f2 AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM f1)",
+)
+TESTED = f"year(date) BETWEEN {FIRST_YEAR + 2} AND {LAST_YEAR} AND excess_return_tick IS NOT NULL"
+ORACLE["walk_forward_rows"] = q(
+    "SELECT code, date, CAST(year(date) - 2 AS VARCHAR) || '_' || CAST(year(date) AS VARCHAR) AS \"window\", "
+    f"{c('return')} AS return, excess_return_tick AS y_true, true AS is_prob FROM labelled WHERE {TESTED}",
+    *BETA,
+)
+ORACLE["walk_forward_metrics"] = q(
+    "SELECT CAST(year(date) - 2 AS VARCHAR) || '_' || CAST(year(date) AS VARCHAR) AS \"window\", CAST(year(date) AS INTEGER) AS test_year, "
+    f"count(*) AS n_test, true AS agrees, year(date) = {FIRST_YEAR + 2} AS tuned FROM labelled WHERE {TESTED} GROUP BY year(date)",
+    *BETA,
+)
+
+
+def aged_step(v: str, w: str, x: str, a: float) -> tuple[str, str]:
+    """Mean and weight of the old mean after value x (which may be missing)."""
+    old = f"({w} * {num(1 - a)})"
+    mean = f"CASE WHEN {x} IS NULL THEN {v} WHEN {v} IS NULL THEN {x} ELSE ({old} * {v} + {num(a)} * {x}) / ({old} + {num(a)}) END"
+    return mean, f"CASE WHEN {x} IS NULL THEN {old} ELSE {num(1)} END"
+
+
+_e5, _w5 = aged_step("r.e5", "r.w5", "s.x", 2 / 6)
+_e60, _w60 = aged_step("r.e60", "r.w60", "s.x", 2 / 61)
+_kg = f"CASE WHEN s.rsv IS NULL THEN r.k ELSE {ema_step('r.k', 's.rsv', 1 / 3)} END"
+_k1 = f"CASE WHEN s.rsv IS NULL THEN {num(50)} ELSE {ema_step(num(50), 's.rsv', 1 / 3)} END"
+ORACLE["ta_gaps"] = q(
+    f"SELECT {sel('s.code, s.date', {'EMA_5': 'coalesce(e5, x)', 'EMA_60': 'coalesce(e60, x)', 'K': 'CASE WHEN s.rsv IS NULL THEN 50 ELSE k END', 'D': 'CASE WHEN s.rsv IS NULL THEN 50 ELSE d END'})} "
+    "FROM sg s JOIN rr ON rr.code = s.code AND rr.rn = s.rn",
+    "gp AS (SELECT code, date, high, low, CASE WHEN CAST(volume AS BIGINT) % 5 = 0 THEN NULL ELSE adj_close END AS x FROM panel)",
+    f"gr AS (SELECT *, row_number() OVER {E} AS rn, {roll('min', 9, 9, 'low')} AS ll, {roll('max', 9, 9, 'high')} AS hh FROM gp)",
+    "sg AS MATERIALIZED (SELECT code, date, rn, x, 100 * (x - ll) / (hh - ll + 1e-9) AS rsv FROM gr)",
+    recur(
+        "rr",
+        "sg",
+        {"e5": "s.x", "w5": num(1), "e60": "s.x", "w60": num(1), "k": _k1, "d": f"CASE WHEN s.rsv IS NULL THEN {num(50)} ELSE {ema_step(num(50), _k1, 1 / 3)} END"},
+        {"e5": _e5, "w5": _w5, "e60": _e60, "w60": _w60, "k": _kg, "d": f"CASE WHEN s.rsv IS NULL THEN r.d ELSE {ema_step('r.d', '(' + _kg + ')', 1 / 3)} END"},
+    ),
+)
+_zr = {f"ret_{w}": fill(clip(f"({ieee('x', lag('x', w))} - 1)", -0.99, 10), 0) for w in (21, 63, 252)}
+ORACLE["returns_of_zero_prices"] = q(
+    f"SELECT {sel('code, date', _zr | {'ret_1d': fill(clip('(g - 1)', -0.5, 0.5), 0), 'vol20': fill(roll('stddev_samp', 20, 10, 'dr') + ' * sqrt(' + num(252) + ')', 0)})}, "
+    "CASE WHEN isinf(coalesce(g, 0)) THEN 1 ELSE 0 END AS log_infinite, CASE WHEN isinf(coalesce(g, 0)) THEN 1 ELSE 0 END AS daily_infinite FROM z2",
+    "z1 AS (SELECT code, date, CASE WHEN CAST(volume AS BIGINT) % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE adj_close END AS x FROM panel)",
+    f"z2 AS (SELECT *, {ieee('x', lag('x'))} AS g, CASE WHEN NOT isinf(coalesce({ieee('x', lag('x'))}, 1)) THEN coalesce({ieee('x', lag('x'))} - 1, 0) END AS dr FROM z1)",
+)
+
 # The feature queries side by side, key by key.
 ORACLE["feature_table"] = (
     "SELECT code, date, "

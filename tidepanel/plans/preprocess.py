@@ -29,7 +29,6 @@ class PanelConfig:
     short_log_transform: bool = True
     skip_year_check: bool = False
     extended: bool = False
-    fwd_basis: str = "index"
 
     def __post_init__(self):
         if not self.skip_year_check and self.end_year - self.start_year < 2:
@@ -189,4 +188,4 @@ def build_features(df: DataFrame, cfg: PanelConfig) -> DataFrame:
 def preprocess(spark: SparkSession, cfg: PanelConfig) -> DataFrame:
     """The whole run: load, market returns, clean, features, labels."""
     raw = load_panel(spark, cfg.db_dir, cfg.start_year, cfg.end_year, cfg.fmt)
-    return build_features(clean_panel(market.add_market_returns(raw, cfg.fwd_basis), ORDINAL), cfg)
+    return build_features(clean_panel(market.add_market_returns(raw), ORDINAL), cfg)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.operators import labels, ml
-from tidepanel.plans.liquidity import LiquidityConfig, build_filtered
+from tidepanel.plans.liquidity import LiquidityConfig, build_filtered, provenance_table
 from tidepanel.plans.report import BacktestConfig, build_report, write_report
 from tidepanel.plans.walkforward import WalkForward, WalkForwardConfig, WindowResult
 from tidepanel.sources.panel import load_params, range_scan
@@ -27,12 +26,13 @@ class TrainRun:
     liquidity: LiquidityConfig | None = field(default_factory=LiquidityConfig)
     filtered_root: str = "database_make_liq_filtered"
     diagnostics: bool = False
+    fmt: str = "parquet"  # of the feature years; filtered years are Parquet
     model: WalkForwardConfig = field(default_factory=lambda: WalkForwardConfig(use_vol_weight=False))
 
 
 def diagnose(spark: SparkSession, run: TrainRun) -> dict[str, DataFrame]:
     """Label distributions and the label extract of all feature years."""
-    df = range_scan(spark, run.features, run.window_start, run.window_end, run.label)
+    df = range_scan(spark, run.features, run.window_start, run.window_end, run.label, run.fmt)
     out = {
         f"{c}_dist": labels.label_histogram(df, c) for c in ("return", "excess_return") if c in df.columns
     }
@@ -49,16 +49,17 @@ def train(spark: SparkSession, run: TrainRun) -> list[WindowResult]:
     """Fixed parameters, optional liquidity filter, then every window."""
     params = None
     if run.params_inline is not None or run.params_path is not None:
-        params = load_params(run.params_inline, run.params_path)
+        params = load_params(spark, run.params_inline, run.params_path)
     if run.diagnostics:
         for name, df in diagnose(spark, run).items():
             write_result(df, f"{run.output_dir}/diagnostics/{name}", "csv")
     root = run.features
     if run.liquidity is not None:
         liq = replace(run.liquidity, window_start=run.window_start, window_end=run.window_end, label=run.label)
-        root = build_filtered(spark, run.features, run.filtered_root, liq)
-        meta = spark.read.json(f"{root.removesuffix('/features')}/liquidity_filter_meta")
-        write_result(meta, f"{run.output_dir}/liquidity_filter_meta", "json")
+        root = build_filtered(spark, run.features, run.filtered_root, liq, run.fmt)
+        meta = provenance_table(spark, root.removesuffix("/features"))
+        if meta is not None:
+            write_result(meta, f"{run.output_dir}/liquidity_filter_meta", "json")
     cfg = replace(
         run.model,
         window_start=run.window_start,
@@ -67,16 +68,15 @@ def train(spark: SparkSession, run: TrainRun) -> list[WindowResult]:
         preset_params=params or run.model.preset_params,
         excluded=set(run.model.excluded) | ml.LIVE_NOT_FEATURES,
         output_dir=run.output_dir,
+        fmt="parquet" if run.liquidity is not None else run.fmt,
     )
     return WalkForward(spark, root, cfg).run()
 
 
-def backtest(spark: SparkSession, experiment: str, features: str, out: str, cfg: BacktestConfig = BacktestConfig()) -> dict[str, DataFrame]:
+def backtest(
+    spark: SparkSession, experiment: str, features: str, out: str, cfg: BacktestConfig = BacktestConfig(), fmt: str = "parquet"
+) -> dict[str, DataFrame]:
     """Report on the predictions below an experiment folder against the market series of the feature table."""
-    tables = build_report(read_predictions(spark, f"{experiment}/predictions"), read_market_series(spark, features, cfg.market_col), cfg)
-    try:
-        meta = spark.read.json(f"{experiment}/liquidity_filter_meta")
-    except AnalysisException:
-        meta = None
-    write_report(tables, out, provenance=meta)
+    tables = build_report(read_predictions(spark, f"{experiment}/predictions"), read_market_series(spark, features, cfg.market_col, fmt), cfg)
+    write_report(tables, out, provenance=provenance_table(spark, experiment))
     return tables

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.windows import CODE, DATE
 from tidepanel.sources.naming import RAW_TO_PANEL
+from tidepanel.sources.scratch import save
 
 ORDINAL = "__ordinal"
 
 
+def year_path(root: str, year: int, fmt: str) -> str:
+    """Yearly CSV is a file (or a folder of part files) YYYY.csv; yearly Parquet is a partition folder."""
+    return f"{root}/{year}.csv" if fmt == "csv" else f"{root}/year={year}"
+
+
 def _read_year(spark: SparkSession, root: str, year: int, fmt: str) -> DataFrame | None:
     """One year, or None when it is absent. Rows carry their place in the load order."""
-    path = f"{root}/{year}.csv" if fmt == "csv" else f"{root}/year={year}"
+    path = year_path(root, year, fmt)
     try:
         reader = spark.read.option("header", True).option("encoding", "UTF-8")
         df = reader.csv(path) if fmt == "csv" else spark.read.parquet(path)
@@ -87,25 +93,27 @@ def latest_date(spark: SparkSession, root: str, start: int, end: int, fmt: str =
 
 
 def write_years(df: DataFrame, root: str, fmt: str = "parquet") -> None:
-    """One directory per year, rows sorted by (code, date).
+    """One directory per year (year=YYYY, or YYYY.csv), rows sorted by (code, date).
 
-    Codes are bucketed inside the year: a year is spread over many tasks, and a task writes
-    to few years, so the number of files stays near the number of tasks.
+    Codes are bucketed inside the year, so that every year is spread over all tasks.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.hash(CODE), F.lit(max(1, parts // 10)))
     out = df.withColumn("year", F.year(DATE))
-    out = out.repartition(parts, "year", bucket).sortWithinPartitions("year", CODE, DATE)
-    if fmt == "csv":
-        out.write.mode("overwrite").option("header", True).partitionBy("year").csv(root)
-    else:
+    out = out.repartition(parts, "year", F.pmod(F.hash(CODE), F.lit(parts))).sortWithinPartitions("year", CODE, DATE)
+    if fmt != "csv":
         out.write.mode("overwrite").partitionBy("year").parquet(root)
+        return
+    # Partition folders cannot be named YYYY.csv: the rows are written once, then each year (a dozen) by itself.
+    out = save(out, "years")
+    for r in out.select("year").distinct().collect():
+        year = out.filter(F.col("year") == r["year"]).drop("year")
+        year.write.mode("overwrite").option("header", True).csv(year_path(root, r["year"], fmt))
 
 
-def year_exists(spark: SparkSession, root: str, year: int) -> bool:
+def year_exists(spark: SparkSession, root: str, year: int, fmt: str = "parquet") -> bool:
     """Whether a table written by write_years has the year; lists one directory, reads nothing."""
     try:
-        spark.read.format("binaryFile").load(f"{root}/year={year}")
+        spark.read.format("binaryFile").load(year_path(root, year, fmt))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return False
@@ -113,38 +121,41 @@ def year_exists(spark: SparkSession, root: str, year: int) -> bool:
     return True
 
 
-def read_table_years(spark: SparkSession, root: str, years: Iterable[int], must_exist: bool) -> DataFrame:
-    """Partition-pruned read of feature years."""
+def read_table_years(spark: SparkSession, root: str, years: Iterable[int], must_exist: bool, fmt: str = "parquet") -> DataFrame:
+    """Pruned read of feature years. CSV columns get their types by coerce_types, labels that are counts become doubles."""
     years = list(years)
-    present = [y for y in years if year_exists(spark, root, y)]
+    present = [y for y in years if year_exists(spark, root, y, fmt)]
     if must_exist and len(present) < len(years):
         raise FileNotFoundError(f"feature years {sorted(set(years) - set(present))} are missing below {root}")
     if not present:
         raise FileNotFoundError(f"no feature year of {years} below {root}")
+    if fmt == "csv":
+        df = coerce_types(scan_years(spark, root, min(present), max(present), fmt))
+        return df.withColumn("year", F.year(DATE)).filter(F.col("year").isin(present)).drop(ORDINAL)
     return spark.read.parquet(root).filter(F.col("year").isin(present))
 
 
-def window_scan(spark: SparkSession, root: str, start: int, target: str) -> DataFrame:
+def window_scan(spark: SparkSession, root: str, start: int, target: str, fmt: str = "parquet") -> DataFrame:
     """Two train years and one test year; all must exist; rows without a target are dropped."""
-    df = read_table_years(spark, root, [start, start + 1, start + 2], must_exist=True)
+    df = read_table_years(spark, root, [start, start + 1, start + 2], must_exist=True, fmt=fmt)
     return df.filter(F.col(target).isNotNull())
 
 
-def range_scan(spark: SparkSession, root: str, start: int, end: int, label: str) -> DataFrame:
+def range_scan(spark: SparkSession, root: str, start: int, end: int, label: str, fmt: str = "parquet") -> DataFrame:
     """All feature years in the range that exist; the label column is required."""
-    df = read_table_years(spark, root, range(start, end + 1), must_exist=False)
+    df = read_table_years(spark, root, range(start, end + 1), must_exist=False, fmt=fmt)
     if label not in df.columns:
         raise ValueError(f"label column {label!r} is not in the feature table")
     return df
 
 
-def load_params(inline: dict | None = None, path: str | None = None) -> dict:
+def load_params(spark: SparkSession, inline: dict | None = None, path: str | None = None) -> dict:
     """Model parameters: the inline dict when given, else a JSON file; must be a non-empty dict."""
     if inline is not None:
         params = dict(inline)
     else:
-        with open(path, encoding="utf-8") as f:
-            params = json.load(f)
+        # Through Spark, so that the file may be in any store that the session reads; a few lines.
+        params = json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))
     if not isinstance(params, dict) or not params:
         raise ValueError("model parameters must be a non-empty mapping")
     return params

@@ -31,25 +31,34 @@ def merge_predictions(df: DataFrame) -> DataFrame:
     return kept.select(CODE, DATE, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def market_series_from_files(df: DataFrame, file_col: str, value: str) -> DataFrame:
-    """First value per (file, date), then the median over files per date."""
-    first = df.groupBy(file_col, DATE).agg(F.first(value, ignorenulls=True).alias("__v"))
+def market_series_from_files(df: DataFrame, file_col: str, value: str, order: str | None = None) -> DataFrame:
+    """First value per (file, date) by `order` (the value itself when not given), then the median over files per date."""
+    known = F.when(F.col(value).isNotNull(), F.col(order or value))
+    first = df.groupBy(file_col, DATE).agg(F.min_by(value, known).alias("__v"))
     median = exact_quantile(first, [DATE], "__v", 0.5, value)
     return first.select(DATE).distinct().join(median, DATE, "left")
 
 
-def read_market_series(spark: SparkSession, root: str, value: str = "market_return_fwd") -> DataFrame:
-    """The cached series when it exists, else derived from every file below root."""
+def read_market_series(spark: SparkSession, root: str, value: str = "market_return_fwd", fmt: str = "parquet") -> DataFrame:
+    """The cached series when it exists, else derived from every feature file below root (Parquet, or yearly CSV)."""
     try:
         cached = spark.read.option("header", True).csv(f"{root}/market_return_series.csv")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    else:
         return cached.select(F.to_date(DATE).alias(DATE), F.col(value).try_cast("double").alias(value))
-    except AnalysisException:
-        pass
-    files = spark.read.parquet(root)
+    if fmt == "csv":
+        files = spark.read.option("header", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(root)
+    else:
+        files = spark.read.parquet(root)
     if value not in files.columns or DATE not in files.columns:
         raise FileNotFoundError(f"no file below {root} has {DATE} and {value}")
-    files = files.select(F.to_date(DATE).alias(DATE), F.col(value).cast("double").alias(value), F.col("_metadata.file_path").alias("__file"))
-    return market_series_from_files(files, "__file", value)
+    order = F.col(CODE).cast("string") if CODE in files.columns else F.lit("")
+    files = files.select(
+        order.alias(CODE), F.to_date(DATE).alias(DATE), F.col(value).try_cast("double").alias(value), F.col("_metadata.file_path").alias("__file")
+    )
+    return market_series_from_files(files, "__file", value, CODE)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = None) -> None:
