@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidepanel.llm import decontaminate, hilbert_packing, lsh_forest, pairwise_quality, streaming_dedup  # noqa: E402
+from tidepanel.llm.workers import reach  # noqa: E402
 from tidepanel.sources.scratch import folder  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,6 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. The labels are those of the tables, less the held-out ones."""
+    reach(spark)
     return pairwise_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
@@ -31,6 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: that with the smallest doc_id."""
+    reach(spark)
     return lsh_forest.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -41,6 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences along the curve."""
+    reach(spark)
     return hilbert_packing.pack(docs)
 
 

@@ -6,6 +6,7 @@ import corpus_pipeline
 from tidepanel.llm import (
     bitplanes, decontaminate, hilbert_packing, licenses, lsh_forest, pairwise_quality, rendezvous, streaming_dedup, suffixes, warc,
 )
+from tidepanel.llm.workers import reaching
 
 QUERIES = {
     "op1_bit_planes": bitplanes.query,
@@ -20,6 +21,7 @@ QUERIES = {
     "op10_hilbert_packing": hilbert_packing.query,
     "pipeline": corpus_pipeline.run,
 }
+QUERIES = {name: reaching(query) for name, query in QUERIES.items()}
 
 SQL = {
     "op2_license_scan": licenses.SQL,
