@@ -7,8 +7,8 @@ sorted by their right words (then document and position): a sparse suffix array.
 after it that belong to other documents, NEIGHBOURS on each side, and the match is extended to the left. A match of LENGTH words or more is a
 repeat; overlapping repeats of a document are made one span, so a span may be far longer than a context.
 
-With WINDOW + LEFT - 1 and RIGHT as chosen here, every part of a repeated passage of LENGTH words is inside some suffix's match. Words are
-hashed, so two different passages would have to agree in LENGTH hashes to be taken for one.
+With WINDOW, LEFT and RIGHT as chosen here, every part of a repeated passage of LENGTH words is inside the match of some suffix with its partner
+in the passage. Words are hashed, so two different passages would have to agree in LENGTH hashes to be taken for one.
 
 Order inside equal words is by document, and the range partitioning uses it, so a passage that a third of all documents share is dealt over
 many tasks. Rows at the edges of partitions are compared once more. Documents are told apart by (doc_id, text): rows equal in both are one
@@ -18,7 +18,9 @@ An empty table gives an empty result. Columns besides doc_id and text are ignore
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.words import hash_words, shingle_hashes, text_of, words_of
-from tidepanel.sources.scratch import save
+from tidepanel.sources.scratch import folder, save
 
 LENGTH = 50
 SEED = 8
@@ -152,76 +154,113 @@ class Rows:
         return np.cumsum(new) - 1
 
 
-def matches(rows: Rows, length: int, neighbours: int) -> dict[str, list]:
-    """Matches of LENGTH words or more of each row with rows of other documents near it in the order."""
-    out: dict[str, list] = {"doc_id": [], "text_key": [], "from": [], "to": [], "other": []}
+@dataclass
+class Found:
+    """For each row: the union of its matches of LENGTH words or more, and whether one of them fills its whole context."""
+
+    hit: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    other: np.ndarray
+    full: np.ndarray
+
+
+def matches(rows: Rows, length: int, neighbours: int) -> Found:
+    """Matches of each row with rows of other documents near it in the order."""
     n = len(rows)
+    found = Found(*(np.zeros(n, dtype=k) for k in (bool, np.int64, np.int64, object, bool)))
     if n < 2:
-        return out
+        return found
     run = rows.runs()
     first = np.searchsorted(run, np.arange(run[-1] + 1))
     last = np.append(first[1:], n) - 1
     for step in range(1, neighbours + 1):
         for there in (run - step, run + step):
             i = np.flatnonzero((there >= 0) & (there <= run[-1]))
-            j = np.where(there[i] < run[i], last[np.clip(there[i], 0, None)], first[np.clip(there[i], 0, run[-1])])
+            j = np.where(there[i] < run[i], last[there[i]], first[there[i]])
             # Two runs away may be the same document again.
             other = (rows.keys[i] != rows.keys[j]) | (rows.ids[i] != rows.ids[j])
             i, j = i[other], j[other]
-            if not len(i):
-                continue
             r, x = _common(rows.right[i], rows.right[j]), _common(rows.left[i], rows.left[j])
             hit = r + x >= length
             i, j, r, x = i[hit], j[hit], r[hit], x[hit]
-            out["doc_id"] += rows.ids[i].tolist()
-            out["text_key"] += rows.keys[i].tolist()
-            out["from"] += (rows.at[i] - x).tolist()
-            out["to"] += (rows.at[i] + r).tolist()
-            out["other"] += rows.ids[j].tolist()
-    return out
-
-
-def _batch(found: dict[str, list], part: int | None = None, edge: Rows | None = None) -> pa.RecordBatch:
-    """Matches, or rows at an edge of a partition."""
-    n = len(found["doc_id"]) if edge is None else len(edge)
-    none = [None] * n
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    if edge is None:
-        cols = [found["doc_id"], found["text_key"], found["from"], found["to"], found["other"], none, none, none, none]
-    else:
-        big = lambda m: [x.astype(">u4").tobytes() for x in m]
-        cols = [edge.ids.tolist(), edge.keys.tolist(), none, none, none, [part] * n, edge.at.tolist(), big(edge.right), big(edge.left)]
-    names = ["doc_id", "text_key", "from", "to", "other", "part", "at", "right", "left"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            for k, m in zip(i, j):  # ids may be null
+                mine = rows.ids[m]
+                if not found.hit[k] or found.other[k] is None or (mine is not None and mine < found.other[k]):
+                    found.other[k] = mine
+            found.hit[i] = True
+            found.left[i], found.right[i] = np.maximum(found.left[i], x), np.maximum(found.right[i], r)
+            found.full[i] |= (r == rows.right.shape[1]) & (x == rows.left.shape[1])
+    return found
+
+
+OUT = [
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("other", pa.int64()),
+    ("edge", pa.bool_()), ("part", pa.int32()), ("place", pa.int64()), ("at", pa.int32()), ("right", pa.binary()), ("left", pa.binary()),
+]
+KIND = f"{MATCH}, edge boolean, part int, place long, at int, right binary, left binary"
+
+
+def _batch(cols: dict[str, list], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols.get(c, [None] * n), k) for c, k in OUT], names=[c for c, _ in OUT])
+
+
+def _spans(rows: Rows, found: Found, at: np.ndarray) -> pa.RecordBatch:
+    at = at[found.hit[at]]
+    cols = {
+        "doc_id": rows.ids[at].tolist(), "text_key": rows.keys[at].tolist(), "from": (rows.at[at] - found.left[at]).tolist(),
+        "to": (rows.at[at] + found.right[at]).tolist(), "other": found.other[at].tolist(), "edge": [False] * len(at),
+    }
+    return _batch(cols, len(at))
+
+
+def _at_edge(rows: Rows, at: np.ndarray, part: int, start: int) -> pa.RecordBatch:
+    big = lambda m: [x.astype(">u4").tobytes() for x in m]
+    cols = {
+        "doc_id": rows.ids[at].tolist(), "text_key": rows.keys[at].tolist(), "edge": [True] * len(at), "part": [part] * len(at),
+        "place": (at + start).tolist(), "at": rows.at[at].tolist(), "right": big(rows.right[at]), "left": big(rows.left[at]),
+    }
+    return _batch(cols, len(at))
 
 
 def _neighbours(length: int, left: int, right: int, neighbours: int):
-    """Streams a sorted partition: holds a batch and the runs at its edge, never more."""
+    """Streams a sorted partition: holds a batch and the runs before it that later rows may meet, never more.
+
+    Rows in the first and last runs of the partition have neighbours in other partitions. They are passed on as edges, but of those
+    whose match is full already only one of each run, for others to meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, edge = TaskContext.get().partitionId(), None, None
+        # rows[done:] are not given out yet; `start` is the place of rows[0] in the partition.
+        part, rows, done, start, opened = TaskContext.get().partitionId(), None, 0, 0, False
+
+        def edge(found: Found, head: bool) -> np.ndarray:
+            runs = rows.runs()
+            near = runs < neighbours if head else runs > runs[-1] - neighbours
+            new = np.diff(runs, prepend=-1) > 0 if head else np.diff(runs, append=runs[-1] + 1) > 0
+            return np.flatnonzero(near & (new | ~found.full))
+
         for batch in batches:
             for piece in (batch.slice(i, 8192) for i in range(0, batch.num_rows, 8192)):
-                if not piece.num_rows:
+                rows = Rows.of(piece, left, right) if rows is None else rows.plus(Rows.of(piece, left, right))
+                runs = rows.runs()
+                # The last run may go on, and rows of the runs before it may have neighbours to come.
+                upto = int(np.searchsorted(runs, runs[-1] - neighbours))
+                if upto <= done:
                     continue
-                rows = Rows.of(piece, left, right)
-                rows = rows if held is None else held.plus(rows)
-                if edge is None and rows.runs()[-1] >= neighbours:
-                    edge = ends(rows)[0]
-                    yield _batch({}, part, edge)
                 found = matches(rows, length, neighbours)
-                if found["doc_id"]:
-                    yield _batch(found)
-                # The last runs go on: what follows may be near them. Of a long run both ends are enough.
-                held = ends(rows, 2 * neighbours + 1)[1]
-        if held is not None:
-            if edge is None:
-                yield _batch({}, part, ends(held)[0])
-            yield _batch({}, part, ends(held)[1])
-
-    def ends(rows: Rows, runs: int = neighbours) -> tuple[Rows, Rows]:
-        number = rows.runs()
-        return rows.take(number < runs), rows.take(number > number[-1] - runs)
+                yield _spans(rows, found, np.arange(done, upto))
+                if not opened:
+                    at = edge(found, True)
+                    yield _at_edge(rows, at[at < upto], part, start)
+                    opened = bool(runs[upto - 1] >= neighbours - 1)
+                kept = int(np.searchsorted(runs, max(0, runs[upto] - neighbours))) if opened else 0
+                rows, done, start = rows.take(slice(kept, None)), upto - kept, start + kept
+        if rows is not None:
+            found = matches(rows, length, neighbours)
+            yield _spans(rows, found, np.arange(done, len(rows)))
+            at = edge(found, False) if opened else np.union1d(edge(found, True), edge(found, False))
+            yield _at_edge(rows, at, part, start)
 
     return run
 
@@ -230,15 +269,13 @@ def _edges(length: int, left: int, right: int, neighbours: int):
     """Matches across the edges of partitions; all rows at edges come in one group, a few for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        rows = None
         for batch in batches:
             if batch.num_rows:
-                rows = Rows.of(batch, left, right)
-                held = rows if held is None else held.plus(rows)
-        if held is not None:
-            found = matches(held, length, neighbours)
-            if found["doc_id"]:
-                yield pa.RecordBatch.from_arrays([_batch(found).column(i) for i in range(5)], names=["doc_id", "text_key", "from", "to", "other"])
+                rows = Rows.of(batch, left, right) if rows is None else rows.plus(Rows.of(batch, left, right))
+        if rows is not None:
+            out = _spans(rows, matches(rows, length, neighbours), np.arange(len(rows)))
+            yield pa.RecordBatch.from_arrays([out.column(i) for i in range(5)], names=[c for c, _ in OUT[:5]])
 
     return run
 
@@ -281,12 +318,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, neighbours: int = NEIGHBOURS)
     other_id is the smallest doc_id among the neighbours that the span was matched with.
     """
     order = suffix_array(docs, length)
-    kind = f"{MATCH}, part int, at int, right binary, left binary"
-    found = save(order.mapInArrow(_neighbours(length, LEFT, RIGHT, neighbours), kind), "matches")
-    # A few rows per partition, in the order of the partitions.
-    edges = found.filter("part IS NOT NULL").coalesce(1).sortWithinPartitions("part", "right", "doc_id", "text_key", "at")
+    path = f"{folder(docs.sparkSession)}/matches-{uuid.uuid4().hex}"
+    # Edges lie in a folder of their own, so that the one task that meets them reads nothing else.
+    order.mapInArrow(_neighbours(length, LEFT, RIGHT, neighbours), KIND).write.partitionBy("edge").parquet(path)
+    found = docs.sparkSession.read.schema(KIND).parquet(path)
+    # A few rows per partition, in the order of the partitions; rows of an open start may have been passed on twice.
+    edges = found.filter("edge").select("part", "place", "doc_id", "text_key", "at", "right", "left").coalesce(1)
+    edges = edges.sortWithinPartitions("part", "place")
     across = edges.select("doc_id", "text_key", "at", "right", "left").mapInArrow(_edges(length, LEFT, RIGHT, neighbours), MATCH)
-    spans = found.filter("part IS NULL").select("doc_id", "text_key", "from", "to", "other").unionByName(across)
+    spans = found.filter("NOT edge").select("doc_id", "text_key", "from", "to", "other").unionByName(across)
     # Per span first: copies of a match combine in each task, before the rows of a document meet.
     spans = spans.groupBy("doc_id", "text_key", "from", "to").agg(F.min("other").alias("other"))
     per_doc = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("from", "to", "other"))).alias("spans"))
