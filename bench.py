@@ -19,8 +19,10 @@ from tidepanel.plans import catalog  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-# The same run as another query, or the sum of steps that are timed one by one.
-SKIP = {"walk_forward_rows", "walk_forward_metrics", "oof_pattern", "preprocess_run", "clean_run"}
+# The same run as another query, the sum of steps that are timed one by one, or slow by the number of model fits.
+SKIP = {
+    "walk_forward_rows", "walk_forward_metrics", "oof_pattern", "preprocess_run", "clean_run", "walk_forward_summary", "walk_forward", "random_search",
+}
 
 
 def main() -> None:

@@ -679,7 +679,7 @@ def oof_pattern(spark, sf):
 
 @query
 def random_search(spark, sf):
-    _, trials = ml.random_search(_model_rows(spark, sf, ()), TARGET, n_trials=2, n_splits=2, rounds=4, patience=2)
+    _, trials = ml.random_search(_model_rows(spark, sf, ()), TARGET, n_trials=2, n_splits=2, rounds=2, patience=1)
     return trials
 
 
@@ -692,9 +692,9 @@ def walk_output(spark: SparkSession, sf: str) -> str:
             window_end=LAST_YEAR,
             n_trials=1,
             n_splits=2,
-            rounds=3,
-            search_rounds=3,
-            patience=2,
+            rounds=2,
+            search_rounds=2,
+            patience=1,
             output_dir=path,
         )
         WalkForward(spark, feature_store(spark, sf), cfg).run()
