@@ -1,24 +1,26 @@
 """Token ids of whole texts with a public tokenizer file, with a bounded store of words already seen.
 
-White space separates tokens of this vocabulary, so a text is split at ASCII white space and each piece is encoded once per Python
-worker. A piece of Latin letters, with or without ASCII punctuation behind, goes straight to the model; any other piece through the
-whole tokenizer. Ids come as little-endian unsigned 32-bit integers.
+White space separates tokens of this vocabulary, so a text is split there and each piece is encoded once per Python worker. A
+piece of Latin letters, with or without ASCII punctuation behind, goes straight to the model; any other piece through the whole
+tokenizer. Ids come as little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces kept per worker (about 250 bytes each); when full, the store starts anew.
+#: Pieces of a generation; two generations are kept per worker (about 200 bytes a piece), so frequent pieces stay.
 KEPT_PIECES = 400_000
 
 # Letters whose lower case and composition are those of one code point, then punctuation that no special token and no contraction has.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+# Blanks to Python that are none to the tokenizer; texts with one are split at ASCII blanks only.
+_ODD = re.compile(r"[\x1c-\x1f]")
 _BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -29,40 +31,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Kept(dict):
+    """Values by key, made when first asked for; the generation before the current one is remembered."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.before = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.letters = _byte_letters()
-        self.kept: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.runs = Kept(self._run, KEPT_PIECES // 2)
+        self.pieces = Kept(self._piece, KEPT_PIECES)
 
-    def _model(self, piece: str) -> list[int]:
-        mapped = piece.lower().encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+    def _run(self, run: str) -> bytes:
+        """Lower-case letters, or punctuation: one word to the model."""
+        mapped = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize(mapped)])
 
-    def _encode(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         plain = _PLAIN.fullmatch(piece)
-        if plain:
-            ids = self._model(plain[1]) + (self._model(plain[2]) if plain[2] else [])
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        if not plain:
+            return _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        word, marks = plain.groups()
+        return self.runs[word.lower()] + self.runs[marks] if marks else self.runs[word.lower()]
 
     def encode(self, text: str | None, end: int) -> bytes:
         """Ids of the text (null: none) and the id `end`."""
-        kept, out = self.kept, []
-        for piece in _BLANK.split(text or ""):
-            if not piece:
-                continue
-            ids = kept.get(piece)
-            if ids is None:
-                if len(kept) >= KEPT_PIECES:
-                    kept.clear()
-                ids = kept[piece] = self._encode(piece)
-            out.append(ids)
-        out.append(np.uint32(end).astype("<u4").tobytes())
-        return b"".join(out)
+        text = text or ""
+        pieces = text.split() if not _ODD.search(text) else filter(None, _BLANK.split(text))
+        return b"".join(map(self.pieces.__getitem__, pieces)) + struct.pack("<I", end)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[str, Encoder] = {}
