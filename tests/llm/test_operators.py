@@ -435,6 +435,16 @@ def test_repeats(spark, frame, tricky):
     assert suffixes.repeats(frame([])).isEmpty() and suffixes.repeats(frame([(1, None), (2, "x")])).isEmpty()
 
 
+def test_repeats_with_far_partners(frame):
+    """Pairs share their own words before a common line; after it each document goes on by itself, so partners lie anywhere in the order."""
+    line = prose(500, 40)
+    rows = [(2 * i + k, f"{prose(6000 + 2 * i + k, 60)} {prose(7000 + i, 15)} {line} {prose(8000 + 2 * i + k, 60)}") for i in range(60) for k in (0, 1)]
+    rows += [(None, rows[0][1] + " more"), (3000, rows[9][1])]
+    got = suffixes.repeats(frame(rows)).collect()
+    assert {(r.doc_id, r.start_word, r.n_words) for r in got} == brute_spans(rows)
+    assert all(r.other_id == (r.doc_id ^ 1) for r in got if r.doc_id is not None and 20 <= r.doc_id < 120)
+
+
 def test_repeats_on_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = suffixes.query(spark, sf_dir).collect()

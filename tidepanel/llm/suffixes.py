@@ -7,8 +7,14 @@ sorted by their right words (then document and position): a sparse suffix array.
 after it that belong to other documents, NEIGHBOURS on each side, and the match is extended to the left. A match of LENGTH words or more is a
 repeat; overlapping repeats of a document are made one span, so a span may be far longer than a context.
 
-With WINDOW, LEFT and RIGHT as chosen here, every part of a repeated passage of LENGTH words is inside the match of some suffix with its partner
-in the passage. Words are hashed, so two different passages would have to agree in LENGTH hashes to be taken for one.
+Partners further away are found by windows. Every LENGTH words have their first minimiser less than WINDOW words from their start, so they are
+a window that begins up to WINDOW - 1 words before some suffix, in every copy. The nearest rows of other documents share the most right words
+with a suffix, so only windows within those can be repeated. One that no neighbour shares is open. Open windows, and the others of the rows
+that share the fewest right words a window can have with an open row, are counted by digest, combined in each task first; an open window that
+a second document has is a repeat. Rows that begin or end a partition do not know their nearest rows, and all their windows are taken.
+
+With WINDOW, LEFT and RIGHT as chosen here, every repeated passage of LENGTH words is thus found, whatever lies between its copies in the order.
+Words are hashed to 32 bits and open windows to 128, so two different passages would have to agree in LENGTH hashes, or in a digest, to be taken for one.
 
 Order inside equal words is by document, and the range partitioning uses it, so a passage that a third of all documents share is dealt over
 many tasks. Rows at the edges of partitions are compared once more. Documents are told apart by (doc_id, text): rows equal in both are one
@@ -18,6 +24,7 @@ An empty table gives an empty result. Columns besides doc_id and text are ignore
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -163,12 +170,16 @@ class Found:
     right: np.ndarray
     other: np.ndarray
     full: np.ndarray
+    #: Right words shared with the nearest rows of other documents, and (row, x) where the window that begins x words before is shared with a neighbour.
+    near: np.ndarray
+    shut: np.ndarray
 
 
 def matches(rows: Rows, length: int, neighbours: int) -> Found:
     """Matches of each row with rows of other documents near it in the order."""
     n = len(rows)
-    found = Found(*(np.zeros(n, dtype=k) for k in (bool, np.int64, np.int64, object, bool)))
+    found = Found(*(np.zeros(n, dtype=k) for k in (bool, np.int64, np.int64, object, bool, np.int64)), np.zeros((n, rows.left.shape[1]), dtype=bool))
+    starts = np.arange(rows.left.shape[1])
     if n < 2:
         return found
     run = rows.runs()
@@ -182,6 +193,8 @@ def matches(rows: Rows, length: int, neighbours: int) -> Found:
             other = (rows.keys[i] != rows.keys[j]) | (rows.ids[i] != rows.ids[j])
             i, j = i[other], j[other]
             r, x = _common(rows.right[i], rows.right[j]), _common(rows.left[i], rows.left[j])
+            found.near[i] = np.maximum(found.near[i], r)
+            found.shut[i] |= (starts <= x[:, None]) & (starts + r[:, None] >= length)
             hit = r + x >= length
             i, j, r, x = i[hit], j[hit], r[hit], x[hit]
             for k, m in zip(i, j):  # ids may be null
@@ -196,9 +209,10 @@ def matches(rows: Rows, length: int, neighbours: int) -> Found:
 
 OUT = [
     ("doc_id", pa.int64()), ("text_key", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("other", pa.int64()),
-    ("edge", pa.bool_()), ("part", pa.int32()), ("place", pa.int64()), ("at", pa.int32()), ("right", pa.binary()), ("left", pa.binary()),
+    ("kind", pa.int32()), ("part", pa.int32()), ("place", pa.int64()), ("at", pa.int32()), ("right", pa.binary()), ("left", pa.binary()), ("window", pa.binary()), ("open", pa.bool_()),
 ]
-KIND = f"{MATCH}, edge boolean, part int, place long, at int, right binary, left binary"
+KIND = f"{MATCH}, kind int, part int, place long, at int, right binary, left binary, window binary, open boolean"
+SPANS, EDGES, WINDOWS = range(3)
 
 
 def _batch(cols: dict[str, list], n: int) -> pa.RecordBatch:
@@ -209,7 +223,7 @@ def _spans(rows: Rows, found: Found, at: np.ndarray) -> pa.RecordBatch:
     at = at[found.hit[at]]
     cols = {
         "doc_id": rows.ids[at].tolist(), "text_key": rows.keys[at].tolist(), "from": (rows.at[at] - found.left[at]).tolist(),
-        "to": (rows.at[at] + found.right[at]).tolist(), "other": found.other[at].tolist(), "edge": [False] * len(at),
+        "to": (rows.at[at] + found.right[at]).tolist(), "other": found.other[at].tolist(), "kind": [SPANS] * len(at),
     }
     return _batch(cols, len(at))
 
@@ -217,12 +231,48 @@ def _spans(rows: Rows, found: Found, at: np.ndarray) -> pa.RecordBatch:
 def _at_edge(rows: Rows, at: np.ndarray, part: int, start: int) -> pa.RecordBatch:
     big = lambda m: [x.astype(">u4").tobytes() for x in m]
     cols = {
-        "doc_id": rows.ids[at].tolist(), "text_key": rows.keys[at].tolist(), "edge": [True] * len(at), "part": [part] * len(at),
+        "doc_id": rows.ids[at].tolist(), "text_key": rows.keys[at].tolist(), "kind": [EDGES] * len(at), "part": [part] * len(at),
         "place": (at + start).tolist(), "at": rows.at[at].tolist(), "right": big(rows.right[at]), "left": big(rows.left[at]),
     }
     return _batch(cols, len(at))
 
 
+def _windows(rows: Rows, found: Found, done: int, upto: int, length: int, head: bool, tail: bool) -> pa.RecordBatch:
+    """Windows of rows[done:upto] that may be repeated, less those of stretches of rows where all are known to be.
+
+    head, tail: the rows begin or end the partition.
+    """
+    left, right, n = rows.left.shape[1], rows.right.shape[1], len(rows)
+    runs = rows.runs()
+    unknown = np.zeros(n, dtype=bool)
+    if head:
+        unknown |= runs == 0
+    if tail:
+        unknown |= runs == runs[-1]
+    starts = np.arange(left)
+    # The other words of a window lie in the right context; a window stays in its text.
+    own_left, own_right = _common(rows.left, rows.left), _common(rows.right, rows.right)
+    inside = (starts <= own_left[:, None]) & (length - starts <= own_right[:, None])
+    may = inside & (length - starts <= np.where(unknown, right, found.near)[:, None])
+    opened = may & ~found.shut
+    # Stretches of equal least right words; those at either end may go on in rows that are not held here.
+    least = max(1, length - left + 1)
+    stretch = np.cumsum(np.append(True, (rows.right[1:, :least] != rows.right[:-1, :least]).any(axis=1))) - 1
+    wanted = np.zeros(stretch[-1] + 1, dtype=bool)
+    wanted[stretch[opened.any(axis=1)]] = True
+    wanted[[0, -1]] = True
+    may &= wanted[stretch][:, None]
+    at, x = np.nonzero(may[done:upto])
+    at += done
+    words = {i: np.concatenate([rows.left[i, ::-1], rows.right[i]]).astype(">u4").tobytes() for i in np.unique(at).tolist()}
+    digests = [hashlib.blake2b(words[i][4 * (left - k) : 4 * (left - k + length)], digest_size=16).digest() for i, k in zip(at.tolist(), x.tolist())]
+    cols = {
+        "doc_id": rows.ids[at].tolist(), "text_key": rows.keys[at].tolist(), "from": (rows.at[at] - x).tolist(), "to": (rows.at[at] - x + length).tolist(),
+        "kind": [WINDOWS] * len(at), "window": digests, "open": opened[at, x].tolist(),
+    }
+    return _batch(cols, len(at))
+
+
 def _neighbours(length: int, left: int, right: int, neighbours: int):
     """Streams a sorted partition: holds a batch and the runs before it that later rows may meet, never more.
 
@@ -250,6 +300,7 @@ def _neighbours(length: int, left: int, right: int, neighbours: int):
                     continue
                 found = matches(rows, length, neighbours)
                 yield _spans(rows, found, np.arange(done, upto))
+                yield _windows(rows, found, done, upto, length, start == 0, False)
                 if not opened:
                     at = edge(found, True)
                     yield _at_edge(rows, at[at < upto], part, start)
@@ -259,6 +310,7 @@ def _neighbours(length: int, left: int, right: int, neighbours: int):
         if rows is not None:
             found = matches(rows, length, neighbours)
             yield _spans(rows, found, np.arange(done, len(rows)))
+            yield _windows(rows, found, done, len(rows), length, start == 0, True)
             at = edge(found, False) if opened else np.union1d(edge(found, True), edge(found, False))
             yield _at_edge(rows, at, part, start)
 
@@ -312,21 +364,35 @@ def merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast(kind), step)
 
 
+def open_repeats(windows: DataFrame) -> DataFrame:
+    """The open windows that another document has too; other is the smallest doc_id that has one, or the largest if it is the document's own."""
+    null = F.col("doc_id").isNull()
+    counted = windows.groupBy("window").agg(
+        F.bool_or("open").alias("any_open"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("text_key").alias("k"),
+        F.max("text_key").alias("l"), F.bool_or(null).alias("some_null"), F.bool_and(null).alias("all_null"),
+    )
+    several = F.coalesce(F.col("low") < F.col("high"), F.lit(False)) | (F.col("k") < F.col("l")) | (F.col("some_null") & ~F.col("all_null"))
+    again = counted.filter(F.col("any_open") & several).select("window", "low", "high")
+    other = F.when(F.col("low").eqNullSafe(F.col("doc_id")), F.col("high")).otherwise(F.col("low"))
+    return windows.filter("open").join(again, "window").select("doc_id", "text_key", "from", "to", other.alias("other"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, neighbours: int = NEIGHBOURS) -> DataFrame:
     """doc_id, text_key, start_word, n_words, other_id: each span of words that also stands in another document, words from 0.
 
-    other_id is the smallest doc_id among the neighbours that the span was matched with.
+    other_id is the smallest doc_id among the neighbours that the span was matched with, and those of open_repeats.
     """
     order = suffix_array(docs, length)
     path = f"{folder(docs.sparkSession)}/matches-{uuid.uuid4().hex}"
-    # Edges lie in a folder of their own, so that the one task that meets them reads nothing else.
-    order.mapInArrow(_neighbours(length, LEFT, RIGHT, neighbours), KIND).write.partitionBy("edge").parquet(path)
+    # Each kind lies in a folder of its own, so that the one task that meets the edges reads nothing else.
+    order.mapInArrow(_neighbours(length, LEFT, RIGHT, neighbours), KIND).write.partitionBy("kind").parquet(path)
     found = docs.sparkSession.read.schema(KIND).parquet(path)
     # A few rows per partition, in the order of the partitions; rows of an open start may have been passed on twice.
-    edges = found.filter("edge").select("part", "place", "doc_id", "text_key", "at", "right", "left").coalesce(1)
+    edges = found.filter(F.col("kind") == EDGES).select("part", "place", "doc_id", "text_key", "at", "right", "left").coalesce(1)
     edges = edges.sortWithinPartitions("part", "place")
     across = edges.select("doc_id", "text_key", "at", "right", "left").mapInArrow(_edges(length, LEFT, RIGHT, neighbours), MATCH)
-    spans = found.filter("NOT edge").select("doc_id", "text_key", "from", "to", "other").unionByName(across)
+    far = open_repeats(found.filter(F.col("kind") == WINDOWS))
+    spans = found.filter(F.col("kind") == SPANS).select("doc_id", "text_key", "from", "to", "other").unionByName(across).unionByName(far)
     # Per span first: copies of a match combine in each task, before the rows of a document meet.
     spans = spans.groupBy("doc_id", "text_key", "from", "to").agg(F.min("other").alias("other"))
     per_doc = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("from", "to", "other"))).alias("spans"))
