@@ -258,6 +258,18 @@ def test_quality_learns_from_labels_alone(spark, sf_dir):
     assert fit(labels) == fit(turned)
 
 
+def test_quality_cut_covers_all_labels(spark, frame):
+    """With a small sample for the weights, quantile and spread are still those of all labelled documents."""
+    texts = [(i, prose(i, 20 + i % 90) + (" !!! ### @@@" * (i % 7) if i % 3 else "")) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int")
+    model = pairwise_quality.fit(frame(texts), labels, rows=6)
+    raw = np.sort([np.asarray(pairwise_quality.features(t)) @ np.asarray(model.weights) for _, t in texts])
+    upto = np.arange(1, 241) / 240
+    k = int(np.searchsorted(upto, 160 / 240 * (1 - 1e-9)))
+    assert model.cut == pytest.approx((raw[k] + raw[k + 1]) / 2, abs=1e-9)
+    assert model.scale == pytest.approx(pairwise_quality.STEEP / raw.std())
+
+
 def test_quality_awkward(spark, frame, tricky):
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (3, 0, 0), (8, 0, 0), (None, 1, 0), (7, None, 0), (999, 0, 0)], "doc_id long, quality int, toxic int")
     docs = frame(tricky)

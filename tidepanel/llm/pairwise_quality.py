@@ -2,10 +2,11 @@
 
 A labelled good document is preferred to a labelled bad one. The score of a document is a weighted sum of features of its text, and the
 weights minimise the logistic loss of the feature differences of the pairs (a Bradley-Terry model; no intercept, since it cancels). The cut
-is the quantile of the training scores at the share of bad documents among the labels; scores are then put on (0, 1) so that the cut is 0.7.
+is the quantile of the scores of all labelled documents at the share of bad documents among the labels, halfway to the next higher score;
+scores are then put on (0, 1) so that the cut is 0.7, in units of the spread of the same scores.
 
-Training reads at most TRAIN_ROWS documents of each label, those whose id hashes smallest, and forms at most TRAIN_PAIRS pairs of them;
-both are parameters. Labels are the only thing learnt from; language, source and id are no features. All documents are scored, whole texts.
+The weights are fitted on the driver on at most TRAIN_ROWS documents of each label, those whose id hashes smallest, and at most TRAIN_PAIRS
+pairs of them; both are parameters. The quantile and the spread are exact and computed on Spark. Labels are the only thing learnt from; language, source and id are no features. All documents are scored, whole texts.
 
 Null and empty texts have the features of a text without words and get a score like any other. Null labels and labels without a document
 are left out. With only one label there, or none, there are no pairs: every score is 0.7. Repeated rows give repeated rows.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.ordered import ordered_running_sum
+from tidepanel.sources.scratch import save
+
 TRAIN_ROWS = 6000
 TRAIN_PAIRS = 60_000
+#: Labels up to which they are broadcast to the documents; beyond, both are exchanged.
+BROADCAST_LABELS = 500_000
 CUT = 0.7
 RIDGE = 1e-3
-#: Half of the scores' spread around the cut, in units of the training scores' own spread.
+#: Half of the scores' spread around the cut, in units of the labelled documents' own spread.
 STEEP = 4.0
 
 FEATURES = (
@@ -126,27 +133,36 @@ def bradley_terry(differences: np.ndarray, ridge: float = RIDGE, steps: int = 60
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pairs: int = TRAIN_PAIRS) -> Model:
     """Learns from labelled documents; `labels` has doc_id and quality, and only rows that may be learnt from."""
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = known.agg(F.avg(1 - F.col("quality"))).first()[0]
+    share, n = known.agg(F.avg(1 - F.col("quality")), F.count(F.lit(1))).first()
+    joined = docs.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, "doc_id")
+    labelled = save(with_features(joined, "quality", "doc_id"), "labelled")
     order = F.xxhash64(F.lit(11), "doc_id")
-    picked = [known.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
-    # 2 x `rows` ids and labels at most.
-    train = docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    sample = with_features(train, "quality", "doc_id").toPandas()
+    picked = [labelled.filter(F.col("quality") == q).select("doc_id").distinct().orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
+    sample = labelled.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").toPandas()
     # Repeated ids are trained on as they come; the order is fixed, so the model is.
     sample = sample.assign(f=[tuple(x) for x in sample["features"]]).sort_values(["doc_id", "f"])
     x = {q: np.array(sample.loc[sample["quality"] == q, "features"].tolist(), dtype=float) for q in (0, 1)}
     if not len(x[0]) or not len(x[1]):
         return Model((0.0,) * len(FEATURES), 0.0, 1.0)
     weights = bradley_terry(pairs_of(x[1], x[0], pairs))
-    scores = [x[q] @ weights for q in (0, 1)]
-    # The labels' own share of bad documents sets the quantile, whatever the sample's is.
-    weight = np.concatenate([np.full(len(scores[0]), share / len(scores[0])), np.full(len(scores[1]), (1 - share) / len(scores[1]))])
-    all_ = np.concatenate(scores)
-    at = np.argsort(all_, kind="stable")
-    upto = np.cumsum(weight[at])
-    k = int(np.searchsorted(upto, share * (1 - 1e-9)))
-    below, above = all_[at][min(k, len(at) - 1)], all_[at][min(k + 1, len(at) - 1)]
-    return Model(tuple(weights.tolist()), float((below + above) / 2), float(STEEP / max(1e-9, all_.std())))
+    cut, spread = cut_of(labelled, weights, float(share))
+    return Model(tuple(weights.tolist()), cut, float(STEEP / max(1e-9, spread)))
+
+
+def cut_of(labelled: DataFrame, weights: np.ndarray, share: float) -> tuple[float, float]:
+    """Quantile at `share` of the scores of all rows (quality, features), and the scores' spread. Only a few numbers reach the driver."""
+    raw = reduce(lambda a, b: a + b, [F.get("features", F.lit(i)) * float(w) for i, w in enumerate(weights)])
+    scored = labelled.select("quality", raw.alias("raw"))
+    bad = F.col("quality") == 0
+    counts = save(scored.groupBy("raw").agg(F.count_if(bad).alias("bad"), F.count_if(~bad).alias("good")), "score_counts")
+    spread = scored.agg(F.stddev_pop("raw")).first()[0]
+    n_bad, n_good = counts.agg(F.sum("bad"), F.sum("good")).first()
+    run = ordered_running_sum(counts, [], [F.col("raw")], {"bad_upto": F.col("bad"), "good_upto": F.col("good")})
+    # The labels' own share of bad documents sets the quantile, whatever that of the documents is.
+    upto = F.col("bad_upto") * (share / n_bad) + F.col("good_upto") * ((1 - share) / n_good)
+    below = run.filter(upto >= share * (1 - 1e-9)).agg(F.min("raw")).first()[0]
+    above = counts.filter(F.col("raw") > below).agg(F.min("raw")).first()[0]
+    return (below + (below if above is None else above)) / 2, spread
 
 
 def scores(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
