@@ -270,6 +270,15 @@ def test_quality_cut_covers_all_labels(spark, frame):
     assert model.scale == pytest.approx(pairwise_quality.STEEP / raw.std())
 
 
+def test_quality_repeated_ids_count_once(spark, frame):
+    """A doc_id with most of the rows is one document to learn from."""
+    texts = [(i, prose(i, 20 + i % 90) + (" !!! ### @@@" * (i % 7) if i % 3 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int")
+    once, often = (pairwise_quality.fit(frame(x), labels) for x in (texts, texts + [texts[1]] * 300))
+    assert often.weights == pytest.approx(once.weights, rel=1e-6, abs=1e-9)
+    assert (often.cut, often.scale) == pytest.approx((once.cut, once.scale), rel=1e-6)
+
+
 def test_quality_awkward(spark, frame, tricky):
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (3, 0, 0), (8, 0, 0), (None, 1, 0), (7, None, 0), (999, 0, 0)], "doc_id long, quality int, toxic int")
     docs = frame(tricky)

@@ -9,7 +9,8 @@ The weights are fitted on the driver on at most TRAIN_ROWS documents of each lab
 pairs of them; both are parameters. The quantile and the spread are exact and computed on Spark. Labels are the only thing learnt from; language, source and id are no features. All documents are scored, whole texts.
 
 Null and empty texts have the features of a text without words and get a score like any other. Null labels and labels without a document
-are left out. With only one label there, or none, there are no pairs: every score is 0.7. Repeated rows give repeated rows.
+are left out. With only one label there, or none, there are no pairs: every score is 0.7. Rows that share a doc_id are learnt
+from as one document with the mean of their features. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -135,12 +136,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pairs: int =
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share, n = known.agg(F.avg(1 - F.col("quality")), F.count(F.lit(1))).first()
     joined = docs.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, "doc_id")
-    labelled = save(with_features(joined, "quality", "doc_id"), "labelled")
+    # Rows of one id are one document, with the mean of their features: combined in each task first, however many they are.
+    means = [F.avg(F.get("features", F.lit(i))).alias(f"f{i}") for i in range(len(FEATURES))]
+    per_id = with_features(joined, "quality", "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), *means)
+    labelled = save(per_id.select("doc_id", "quality", F.array(*[f"f{i}" for i in range(len(FEATURES))]).alias("features")), "labelled")
     order = F.xxhash64(F.lit(11), "doc_id")
-    picked = [labelled.filter(F.col("quality") == q).select("doc_id").distinct().orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
+    picked = [labelled.filter(F.col("quality") == q).select("doc_id").orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
     sample = labelled.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").toPandas()
-    # Repeated ids are trained on as they come; the order is fixed, so the model is.
-    sample = sample.assign(f=[tuple(x) for x in sample["features"]]).sort_values(["doc_id", "f"])
+    # The order is fixed, so the model is.
+    sample = sample.sort_values("doc_id")
     x = {q: np.array(sample.loc[sample["quality"] == q, "features"].tolist(), dtype=float) for q in (0, 1)}
     if not len(x[0]) or not len(x[1]):
         return Model((0.0,) * len(FEATURES), 0.0, 1.0)
