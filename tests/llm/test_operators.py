@@ -324,6 +324,30 @@ def test_derivatives(spark):
     assert warc.derive(warc.responses(pages.limit(0))).isEmpty()
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<head><title>a <p> b</title><meta charset=utf-8><script>x('<p></head>')</script><body class=x><p>One</p>Two", "One\nTwo"),
+        ("<html><head><link rel=x><style>p {}</style>\n<p>One<header>Two</header>", "One\nTwo"),
+        ("<head><title>t</title>Words at once", "Words at once"),
+        ("<head><title>t</title></head><body><noscript>One<p>Two <template>three", "One\nTwo three"),
+        ("<head><title>t</title><object>gone</object></head>One<script>lost", "One"),
+        ("<p>One</p><script>never closed <p>Two", "One"),
+    ],
+)
+def test_unclosed_elements(page, text):
+    assert warc.text_of_page(page) == text
+
+
+def test_metadata_keeps_http_headers():
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nLast-Modified: Mon, 01 Jan 2024 00:00:00 GMT\r\nX-Long: a\r\n  b\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Empty:\r\nVary: x\r\n\r\n"
+    lines = warc.metadata_of("", http, "").split("\r\n")
+    assert lines[:2] == ["http-status: 200", "http-content-type: text/html"]
+    assert [x.removeprefix("http-header: ") for x in lines if x.startswith("http-header: ")] == [
+        "Content-Type: text/html; charset=utf-8", "Last-Modified: Mon, 01 Jan 2024 00:00:00 GMT", "X-Long: a b", "Set-Cookie: a=1", "Set-Cookie: b=2", "X-Empty: ", "Vary: x",
+    ]
+
+
 def test_derivative_files(spark, sf_dir):
     path = f"{folder(spark)}/t-{uuid.uuid4().hex}"
     records = warc.query(spark, sf_dir)

@@ -1,13 +1,15 @@
 """WARC derivatives: response records become linked metadata and plain-text conversion records.
 
 A response record is a row: record_id, target_uri, date, http (the HTTP header block as text) and payload (the bytes of the body). Each
-yields two records. The metadata record has one line per field (title, language, links, status, content type, text length), the conversion record the
+yields two records. The metadata record has one line per field (title, language, links, status, content type, each HTTP
+header as it is, text length), the conversion record the
 page's text. Both refer to the response by WARC-Refers-To, keep its target URI and date, and carry the digest of the source payload besides
 that of their own block. Record identifiers are derived from the response's, so a task that runs again writes the same records.
 
 A null or empty payload gives empty text and no links; a null header block gives no status; null identifiers, URIs and dates give null
 references and are left out of the header. Bytes that are no UTF-8 (or the charset of the Content-Type) are replaced. Repeated responses give repeated records.
-An empty table gives none. Other columns are not carried. Each row is converted on its own: no exchange, one Arrow batch in a task.
+A <head> without an end
+tag ends before the first text or element that is no part of a head. An empty table gives none. Other columns are not carried. Each row is converted on its own: no exchange, one Arrow batch in a task.
 """
 
 from __future__ import annotations
@@ -28,7 +30,15 @@ RECORD = (
     "page_id long, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
     "source_digest string, block_digest string, content_length long, header string, block string"
 )
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# Scripts and styles run to their end tag or the end of the page; an unclosed noscript or template is a tag like others.
+_DROPPED = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template)\b[^>]*>.*?</\2\s*>", re.S | re.I
+)
+_HEAD = re.compile(
+    r"<head\b[^>]*>(?:(?:(?!<body\b).)*?</head\s*>"
+    r"|(?:\s+|<title\b[^>]*>.*?(?:</title\s*>|\Z)|</?(?:meta|link|base|basefont|bgsound|noscript|template)\b[^>]*>)*)",
+    re.S | re.I,
+)
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|blockquote|pre|title)\b[^>]*|br\s*/?)>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _BLANKS = re.compile(r"[ \t\r\f\v ]+")
@@ -38,12 +48,14 @@ _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CHARSET = re.compile(r"^content-type:[^\n]*charset=\"?([\w-]+)", re.M | re.I)
 _STATUS = re.compile(r"^HTTP/[\d.]+ (\d{3})")
+# A line that begins with a blank goes on with the header before it.
+_HEADER = re.compile(r"^([^\s:]+):[ \t]*([^\r\n]*(?:\r?\n[ \t]+[^\r\n]*)*)", re.M)
 _TYPE = re.compile(r"^content-type:\s*([^;\r\n]+)", re.M | re.I)
 
 
 def text_of_page(page: str) -> str:
     """Visible text: one line per block element, blanks made single, entities resolved after the tags are gone."""
-    page = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page)))
+    page = _TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", _DROPPED.sub(" ", page))))
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(page))).strip()
 
 
@@ -64,6 +76,7 @@ def metadata_of(page: str, http: str | None, text: str) -> str:
     clean = lambda s: _BLANKS.sub(" ", html.unescape(_TAG.sub("", s))).replace("\n", " ").strip()
     fields = [("http-status", _STATUS.match(http or "")), ("http-content-type", _TYPE.search(http or "")), ("title", _TITLE.search(page)), ("language", _LANG.search(page))]
     lines = [f"{k}: {clean(m[1])}" for k, m in fields if m]
+    lines += [f"http-header: {m[1]}: {' '.join(m[2].split())}" for m in _HEADER.finditer(http or "")]
     lines += [f"outlink: {clean(next(x for x in g if x is not None))}" for g in (m.groups() for m in _LINK.finditer(page)) if any(g)]
     return "\r\n".join([*lines, f"text-characters: {len(text)}"]) + "\r\n"
 
