@@ -56,7 +56,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL expresses neither the classifier nor the tokenizer; the tests hold run() against a brute-force version.
+#: SQL expresses neither the classifier nor the tokenizer; test_pipeline holds each stage of run() against a plain version.
 ORACLE_SQL = None
 
 

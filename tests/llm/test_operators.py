@@ -553,3 +553,46 @@ def test_neighbours_are_similar(frame):
     rows = [(i, " ".join(r.choice("abcdefgh" if i % 2 else "stuvwxyz") for _ in range(80))) for i in range(60)]
     order = [x.doc_id % 2 for x in hilbert_packing.along_curve(frame(rows)).coalesce(1).collect()]
     assert sum(a != b for a, b in zip(order, order[1:])) < 15
+
+
+# --- pipeline --------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, sf_dir, monkeypatch):
+    """Each stage keeps what a plain version keeps of the rows before it, and the pieces hold all of the last ones."""
+    import corpus_pipeline
+
+    paths = []
+
+    def watched(stage):
+        def run(session, docs, folder_):
+            paths.append(docs)
+            return stage(session, docs, folder_)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, watched(f)) for name, f in corpus_pipeline.STAGES])
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    raw, good, exact, near, clean = ([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()] for d in paths)
+    assert all(d.columns == corpus_pipeline.COLUMNS for d in paths[1:])
+
+    labels = pairwise_quality.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = pairwise_quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
+    score = lambda t: model.score(np.array([pairwise_quality.features(t)]))[0]
+    assert by(good) == by((i, t) for i, t in raw if score(t) >= pairwise_quality.CUT)
+    assert 0 < len(good) < len(raw)
+
+    first = {}
+    for i, t in good:
+        key = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        first[key] = min(first.get(key, (-len(t or ""), i)), (-len(t or ""), i))
+    assert sorted(i for i, _ in exact) == sorted(i for _, i in first.values())
+
+    # No repeated ids: a document stays that is the first of its class.
+    classes = brute_join(exact)[0]
+    assert sorted(i for i, _ in near) == sorted(i for i, c, _ in classes if i == c)
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    judged = brute_contamination(near, items)
+    assert sorted(i for i, _ in clean) == sorted(r[0] for r in judged if not r[-1])
+    check_packing(pieces, clean)
