@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests_llm_helpers import prose, words  # noqa: F401
+from corpus_helpers import prose, words
 from tidepanel.llm import (
     bitplanes, decontaminate, graph, hilbert_packing, licenses, lsh_forest, pairwise_quality, rendezvous, streaming_dedup, suffixes, warc,
 )
