@@ -44,7 +44,3 @@ def series(spark):
         return spark.createDataFrame(out, "code STRING, date DATE, " + ", ".join(f"{n} DOUBLE" for n in names))
 
     return make
-
-
-def column(df, name, by=("code", "date")):
-    return [r[name] for r in df.orderBy(*by).collect()]

@@ -2,7 +2,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import column
+from panel_helpers import column
 from pyspark.sql import functions as F
 
 from tidepanel.functions import ordered

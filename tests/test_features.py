@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import column
+from panel_helpers import column
 from pyspark.sql import functions as F
 
 from tidepanel.functions.windows import by_code

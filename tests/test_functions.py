@@ -4,7 +4,7 @@ import random
 
 import pandas as pd
 import pytest
-from conftest import column
+from panel_helpers import column
 from pyspark.sql import functions as F
 
 from tidepanel.functions import ordered
