@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tokens import VOCABULARY, encoder
-from tidepanel.llm.words import text_of
+from tidepanel.llm.words import sliced, text_of
 from tidepanel.sources.scratch import folder
 
 #: Ids of a block; a multiple of 8.
@@ -75,7 +75,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: str, block: int, layo
         chunk, first, held, pieces, room = chunk + 1, first + len(ids), [], [], block
         return out
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             ids = enc.encode(text.as_py(), END)
             n, start = len(ids) // 4, 0

@@ -6,7 +6,8 @@ to DIMENSIONS numbers, each squeezed to BITS bits, and their Hilbert index is th
 sequences of SEQUENCE ids; what is left at the end of a stretch is cut into sequences whose lengths are powers of two, so nothing is padded.
 
 Null texts count as empty; each document has its end id. Documents without words have the key of the zero vector. Repeated rows are
-packed one after another. An empty table has no pieces. Other columns are not used. A task holds one Arrow batch of texts and of pieces.
+packed one after another. An empty table has no pieces. Other columns are not used. A task holds one Arrow batch of texts and works on
+slices of about a megabyte; a text of any length is encoded whole and cut over sequences.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tokens import VOCABULARY, encoder
-from tidepanel.llm.words import hash_words, mix, text_of
+from tidepanel.llm.words import hash_words, mix, sliced, text_of
 
 SEQUENCE = 2048
 END = 1
@@ -76,7 +77,7 @@ def curve_keys(texts: pa.Array) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         keys = pa.array(curve_keys(batch.column("text")), type=pa.int64())
         yield pa.RecordBatch.from_arrays([keys, batch.column("doc_id"), batch.column("text")], names=["key", "doc_id", "text"])
 
@@ -104,7 +105,7 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, sequence: int) -
         names = [c.split(" ")[0] for c in PIECE.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], names=names)
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             ids = enc.encode(text.as_py(), END)
             tokens, start = len(ids) // 4, 0

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.graph import components
 from tidepanel.llm.streaming_dedup import keep_rows, located
-from tidepanel.llm.words import hash_words, mix, shingle_hashes
+from tidepanel.llm.words import hash_words, mix, shingle_hashes, sliced
 from tidepanel.sources.scratch import save
 
 SHINGLE = 5
@@ -95,7 +95,7 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = shingle_sets(batch.column("text"), size)
         some = [i for i, s in enumerate(sets) if len(s)]
         values = labels([sets[i] for i in some], trees, depth) if some else np.zeros((0, trees, depth), np.uint32)
@@ -188,7 +188,7 @@ def _links_at(rows: DataFrame, docs: DataFrame, sets: DataFrame, size: int, thre
     found = texts.join(F.broadcast(wanted) if few else wanted, ["file", "row"]).select("set", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [s.tobytes() for s in shingle_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(out, pa.binary())], names=["set", "shingles"])
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.ordered import ordered_running_sum
+from tidepanel.llm.words import sliced
 from tidepanel.sources.scratch import save
 
 TRAIN_ROWS = 6000
@@ -79,7 +80,7 @@ def features(text: str | None) -> list[float]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         values = [features(t.as_py()) for t in batch.column("text")]
         kept = [batch.column(c) for c in batch.schema.names if c != "text"]
         names = [c for c in batch.schema.names if c != "text"]
@@ -192,10 +193,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score of 0.7 or more, with all their columns."""
     model = fit(docs.select("doc_id", "text"), learnable(labels))
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in text], dtype=float).reshape(len(text), len(FEATURES))
-        return pd.Series(model.score(x))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        x = np.array([features(t.as_py()) for t in text], dtype=float).reshape(len(text), len(FEATURES))
+        return pa.array(model.score(x))
 
     return docs.filter(score("text") >= CUT)
 
