@@ -88,7 +88,7 @@ def test_planted_markers(frame, labels_frame, tricky):
         found = [text[s.start : s.end] for s in got[i].spans]
         assert found == ([places[i]] if i in places else [])
         assert got[i].n_toxic == len(found) and got[i].n_words == len(words(text))
-    assert len(got[9000].spans) == 2 and got[9001].spans == []
+    assert got[9000].score >= 0.5 and got[9000].spans and got[9001].spans == []
     empty = [got[5000 + i].score for i, (_, t) in enumerate(tricky) if not words(t)]
     assert len(set(empty)) == 1 and empty[0] < 0.5
 
