@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.num import canon, lit, signed_log1p
 from tidepanel.functions.windows import CODE, DATE, by_code
 from tidepanel.operators import backtest as bt
-from tidepanel.operators import beta, clean, crosssec, evaluate, flow, fundamentals, indicators, labels, market, ml
+from tidepanel.operators import beta, boosting, clean, crosssec, evaluate, flow, fundamentals, indicators, labels, market, ml
 from tidepanel.plans.liquidity import LiquidityConfig, build_filtered, provenance
 from tidepanel.plans.preprocess import PanelConfig, build_features, clean_panel, preprocess
 from tidepanel.plans.walkforward import WalkForward, WalkForwardConfig
@@ -617,54 +618,94 @@ def feature_table(spark, sf):
     return out(df, [c for cols in STEP_COLUMNS.values() for c in cols])
 
 
-# The model queries read all rows and all features. Their rounds are few, so that a run over every query ends in minutes; the
-# defaults of the operators are the full ones.
-SMALL = ml.GbtParams(rounds=5, max_depth=3, bagging_fraction=0.9, feature_fraction=0.9)
+# The model queries read all rows and all features. ROUNDS, PATIENCE and TRIALS are smaller than the operators' defaults (500 rounds, a
+# patience of 50, 15 trials), so that a run over every query ends in minutes; the README has the seconds.
+ROUNDS, PATIENCE, TRIALS = 16, 3, 3
+MODEL = boosting.BoostParams(rounds=ROUNDS, learning_rate=0.3, num_leaves=8, max_depth=3, bagging_fraction=0.9, bagging_freq=1, feature_fraction=0.9)
 SPLIT_YEAR = LAST_YEAR
+_fitted: dict[tuple[str, str], object] = {}
 
 
-def _model_rows(spark, sf, keep: tuple[str, ...] = ("return",)) -> DataFrame:
-    """Assembled once: every fit reads all features."""
+def _model_rows(spark, sf) -> DataFrame:
+    """code, date, target, return and the features of every row with a target, with its fold."""
 
     def build() -> DataFrame:
         df = features(spark, sf).filter(F.col(TARGET).isNotNull())
-        return ml.assemble(df, model_features(spark, sf), [CODE, DATE, TARGET, "return"])
+        return ml.with_folds(df.select(CODE, DATE, *dict.fromkeys([TARGET, "return", *model_features(spark, sf)])), 3)
 
-    return shared(spark, f"{sf}/model_rows", build).select(CODE, DATE, TARGET, *keep, "features")
+    return shared(spark, f"{sf}/model_rows", build)
 
 
 def model_features(spark, sf) -> list[str]:
     return ml.resolve_features(features(spark, sf), ml.LIVE_NOT_FEATURES)
 
 
-def _fit(spark, sf):
-    rows = _model_rows(spark, sf)
-    return rows, ml.fit_gbt(rows.filter(F.year(DATE) < SPLIT_YEAR), TARGET, SMALL)
+def _binned(spark, sf, name: str, rows: Callable[[], DataFrame]) -> boosting.Binned:
+    """Blocks and edges of training rows, once for all fits on them."""
+    names = model_features(spark, sf)
+    table = shared(spark, f"{sf}/{name}_edges", lambda: boosting.edge_table(spark, names, boosting.find_edges(rows(), names)))
+    edges = boosting.edges_of(table, names)
+    return boosting.Binned(shared(spark, f"{sf}/{name}_blocks", lambda: boosting.bin_rows(rows(), names, TARGET, edges=edges).blocks), names, edges)
+
+
+def _once(spark, key: str, make):
+    """A fitted model (or models), once per application; queries that read the same one share it."""
+    slot = (spark.sparkContext.applicationId, key)
+    if slot not in _fitted:
+        _fitted[slot] = make()
+    return _fitted[slot]
+
+
+def _fit(spark, sf) -> boosting.Booster:
+    """Fitted on the years before SPLIT_YEAR, whose last fold ends the boosting."""
+
+    def make() -> boosting.Booster:
+        data = _binned(spark, sf, "train", lambda: _model_rows(spark, sf).filter(F.year(DATE) < SPLIT_YEAR))
+        return boosting.fit(data, MODEL)
+
+    return _once(spark, f"{sf}/fit", make)
+
+
+def _folds(spark, sf) -> list[boosting.Booster]:
+    return _once(spark, f"{sf}/folds", lambda: boosting.fit_folds(_binned(spark, sf, "folds", lambda: _model_rows(spark, sf)), MODEL, 3, PATIENCE))
 
 
 @query
 def gbt_fit_predict(spark, sf):
-    rows, model = _fit(spark, sf)
-    return ml.predict(model, rows).select(CODE, DATE, F.col(TARGET).alias("y_true"), "y_prob")
+    rows = _model_rows(spark, sf)
+    return boosting.predict(_fit(spark, sf), rows, [CODE, DATE, TARGET]).withColumnRenamed(TARGET, "y_true")
 
 
 @query
 def score_evaluate(spark, sf):
-    rows, model = _fit(spark, sf)
-    scored = ml.score(model, rows.filter(F.year(DATE) >= SPLIT_YEAR), TARGET, 0.4)
+    test = _model_rows(spark, sf).filter(F.year(DATE) >= SPLIT_YEAR)
+    scored = ml.prediction_table(boosting.predict(_fit(spark, sf), test, [CODE, DATE, TARGET, "return"]), TARGET, 0.4)
     return evaluate.classifier_metrics(scored.withColumn("window", F.lit("holdout")), ["window"])
 
 
 @query
 def feature_importance(spark, sf):
-    _, model = _fit(spark, sf)
-    return ml.feature_importance(spark, model, model_features(spark, sf))
+    return boosting.gains(spark, _fit(spark, sf))
+
+
+@query
+def boosting_rounds(spark, sf):
+    """Validation loss of each fold after each round, and the round at which the fold's model was cut."""
+    rows = [(k, r, float(loss), r == m.rounds) for k, m in enumerate(_folds(spark, sf), 1) for r, loss in enumerate(m.losses)]
+    return spark.createDataFrame(rows, "fold int, round int, log_loss double, is_best boolean")
+
+
+@query
+def binned_matrix(spark, sf):
+    """Rows in each bin of each feature of the folds' training table, from the stored blocks."""
+    data = _binned(spark, sf, "folds", lambda: _model_rows(spark, sf))
+    return boosting.bin_counts(data)
 
 
 @query
 def oof_probabilities(spark, sf):
     def build() -> DataFrame:
-        return ml.oof_probabilities(_model_rows(spark, sf, ()), TARGET, SMALL, 3)[0]
+        return boosting.oof(_folds(spark, sf), _model_rows(spark, sf), [CODE, DATE, TARGET, "fold"])
 
     return shared(spark, f"{sf}/oof", build)
 
@@ -679,8 +720,14 @@ def oof_pattern(spark, sf):
 
 @query
 def random_search(spark, sf):
-    _, trials = ml.random_search(_model_rows(spark, sf, ()), TARGET, n_trials=2, n_splits=2, rounds=2, patience=1)
-    return trials
+    """Trials over three folds, all fits side by side on one binned table."""
+
+    def make():
+        rng = random.Random(42)
+        data = _binned(spark, sf, "folds", lambda: _model_rows(spark, sf))
+        return boosting.search(data, [ml.sample_params(rng) for _ in range(TRIALS)], 3, ROUNDS // 2, PATIENCE)[1]
+
+    return boosting.trial_table(spark, _once(spark, f"{sf}/search", make))
 
 
 def walk_output(spark: SparkSession, sf: str) -> str:
@@ -690,11 +737,12 @@ def walk_output(spark: SparkSession, sf: str) -> str:
         cfg = WalkForwardConfig(
             window_start=FIRST_YEAR,
             window_end=LAST_YEAR,
-            n_trials=1,
+            n_trials=2,
             n_splits=2,
-            rounds=2,
-            search_rounds=2,
-            patience=1,
+            rounds=ROUNDS // 2,
+            search_rounds=ROUNDS // 2,
+            patience=PATIENCE,
+            rounds_from_folds=True,
             output_dir=path,
         )
         WalkForward(spark, feature_store(spark, sf), cfg).run()
