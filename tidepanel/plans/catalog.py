@@ -620,7 +620,7 @@ def feature_table(spark, sf):
 
 # The model queries read all rows and all features. ROUNDS, PATIENCE and TRIALS are smaller than the operators' defaults (500 rounds, a
 # patience of 50, 15 trials), so that a run over every query ends in minutes; the README has the seconds.
-ROUNDS, PATIENCE, TRIALS = 16, 3, 3
+ROUNDS, PATIENCE, TRIALS = 16, 3, 2
 MODEL = boosting.BoostParams(rounds=ROUNDS, learning_rate=0.3, num_leaves=8, max_depth=3, bagging_fraction=0.9, bagging_freq=1, feature_fraction=0.9)
 SPLIT_YEAR = LAST_YEAR
 _fitted: dict[tuple[str, str], object] = {}
@@ -725,7 +725,7 @@ def random_search(spark, sf):
     def make():
         rng = random.Random(42)
         data = _binned(spark, sf, "folds", lambda: _model_rows(spark, sf))
-        return boosting.search(data, [ml.sample_params(rng) for _ in range(TRIALS)], 3, ROUNDS // 2, PATIENCE)[1]
+        return boosting.search(data, [ml.sample_params(rng) for _ in range(TRIALS)], 3, ROUNDS // 4, PATIENCE)[1]
 
     return boosting.trial_table(spark, _once(spark, f"{sf}/search", make))
 
@@ -737,12 +737,11 @@ def walk_output(spark: SparkSession, sf: str) -> str:
         cfg = WalkForwardConfig(
             window_start=FIRST_YEAR,
             window_end=LAST_YEAR,
-            n_trials=2,
+            n_trials=1,
             n_splits=2,
-            rounds=ROUNDS // 2,
-            search_rounds=ROUNDS // 2,
-            patience=PATIENCE,
-            rounds_from_folds=True,
+            rounds=2,
+            search_rounds=2,
+            patience=1,
             output_dir=path,
         )
         WalkForward(spark, feature_store(spark, sf), cfg).run()
