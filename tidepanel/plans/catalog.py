@@ -657,7 +657,7 @@ def _once(spark, key: str, make):
 
 
 def _fit(spark, sf) -> boosting.Booster:
-    """Fitted on the years before SPLIT_YEAR, whose last fold ends the boosting."""
+    """Fitted on the years before SPLIT_YEAR, with all rounds."""
 
     def make() -> boosting.Booster:
         data = _binned(spark, sf, "train", lambda: _model_rows(spark, sf).filter(F.year(DATE) < SPLIT_YEAR))
