@@ -147,3 +147,67 @@ def test_exact_quantile(skewed, monkeypatch, p):
     for task_rows in (None, 0):
         got = {r["g"]: r["q"] for r in ordered.exact_quantile(skewed, ["g"], "v", p, "q", task_rows).collect()}
         assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("lengths", [[63, 252], [7, 60, 125]])
+def test_moments_forget_a_spike(series, lengths):
+    rng = random.Random(5)
+    xs = [None if rng.random() < 0.1 else rng.uniform(-1, 1) for _ in range(700)]
+    xs[40], xs[300] = 1e12, -3e15
+    df = series({"a": [{"x": x} for x in xs], "b": [{"x": 1.0}]})
+    names = {f"s{w}": F.col(f"__t_s_x_{w}") for w in lengths} | {f"n{w}": F.col(f"__t_n_x_{w}") for w in lengths}
+    rows = run_stages(df, [*moments("t", {"x": F.col("x")}, lengths), names]).filter("code = 'a'").orderBy("date").collect()
+    for i, r in enumerate(rows):
+        for w in lengths:
+            frame = [x for x in xs[max(0, i - w + 1) : i + 1] if x is not None]
+            assert r[f"n{w}"] == len(frame)
+            assert r[f"s{w}"] == pytest.approx(math.fsum(frame), rel=1e-9, abs=1e-9)
+
+
+@pytest.fixture(scope="module")
+def rough(spark):
+    """Groups of many distinct values: even, heavy-tailed, with infinite values, of one value, and a null group."""
+    rng = random.Random(7)
+    rows = [("even", rng.uniform(-1, 1)) for _ in range(3001)]
+    rows += [("tail", math.exp(rng.uniform(-600, 600))) for _ in range(3000)]
+    rows += [("wide", rng.choice([-1.7e308, 1.7e308, rng.random()])) for _ in range(2000)]
+    rows += [("inf", rng.choice([-math.inf, math.inf, rng.random()])) for _ in range(2000)]
+    rows += [("same", 4.0)] * 2000 + [(None, float(i)) for i in range(2000)] + [("few", 1.0), ("few", 2.0), ("few", None)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "g STRING, v DOUBLE")
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+@pytest.mark.parametrize("p", [0.5, 0.9])
+def test_quantile_by_narrowing(rough, monkeypatch, passes, p):
+    monkeypatch.setattr(ordered, "BINS", 8)
+    monkeypatch.setattr(ordered, "PASSES", passes)
+    groups = {}
+    for g, v in rough.filter("v IS NOT NULL").collect():
+        groups.setdefault(g, []).append(v)
+    got = {r["g"]: r["q"] for r in ordered.exact_quantile(rough, ["g"], "v", p, "q", task_rows=500).collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        vs.sort()
+        at = p * (len(vs) - 1)
+        lo, hi = vs[math.floor(at)], vs[math.ceil(at)]
+        assert got[g] == lo or got[g] == pytest.approx(lo + (hi - lo) * (at - math.floor(at)), rel=1e-12), g
+    whole = ordered.exact_quantile(rough.filter("g = 'even'"), [], "v", p, "q", task_rows=500)
+    assert whole.columns == ["q"]
+    assert [r["q"] for r in whole.collect()] == pytest.approx([got["even"]])
+
+
+def test_narrowing_shuffles_bins_not_values(rough, monkeypatch):
+    """One pass of 8 bins leaves about an eighth of an even group to go by value."""
+    monkeypatch.setattr(ordered, "BINS", 8)
+    monkeypatch.setattr(ordered, "PASSES", 1)
+    seen = []
+    plain = ordered._by_value
+    monkeypatch.setattr(ordered, "_by_value", lambda df, *a: seen.append(df.count()) or plain(df, *a))
+    ordered.exact_quantile(rough.filter("g = 'even'"), ["g"], "v", 0.5, "q", task_rows=500).collect()
+    assert len(seen) == 1 and 0 < seen[0] < 600
+
+
+def test_quantile_of_nothing(rough):
+    assert ordered.exact_quantile(rough.filter("false"), ["g"], "v", 0.5, "q").collect() == []
+    assert ordered.exact_quantile(rough.filter("v IS NULL"), [], "v", 0.5, "q", task_rows=0).collect() == []

@@ -8,6 +8,9 @@ Both ways give the same values.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +80,20 @@ def ordered_running_sum(
     return df.drop("__part", "__k_part", *mine)
 
 
-def exact_quantile(df: DataFrame, group: list[str], value: str, p: float, out: str, task_rows: int | None = None) -> DataFrame:
-    """Exact quantile (linear interpolation) per group, from counts per distinct value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+def _between(lo: Column, hi: Column, frac: Column) -> Column:
+    """Linear interpolation; equal ends are the result, infinite ones too."""
+    return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac)
+
+
+def _by_value(df: DataFrame, group: list[str], value: str, p: float, out: str, task_rows: int) -> DataFrame:
+    """Quantile per group from counts per distinct value. `__below` rows of a group, if the column is there, are smaller than
+    those given, and `__size` is the group's size."""
+    part = "__below" in df.columns
+    carried = [F.max(c).alias(c) for c in ("__below", "__size") if part]
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"), *carried)
     run = ordered_running_sum(counts, group, [F.col(value)], {"__upto": F.col("__c")}, {"__n": "__upto"}, task_rows)
+    if part:
+        run = run.withColumns({"__upto": F.col("__upto") + F.col("__below"), "__n": F.col("__size")})
     at = F.lit(p) * (F.col("__n") - 1)
     low, high = F.floor(at), F.ceil(at)
 
@@ -91,7 +104,114 @@ def exact_quantile(df: DataFrame, group: list[str], value: str, p: float, out: s
     lo = F.max(F.when(holds(low), F.col(value)))
     hi = F.max(F.when(holds(high), F.col(value)))
     frac = F.max(at - low)
-    return picked.groupBy(*group).agg((lo + (hi - lo) * frac).alias(out))
+    return picked.groupBy(*group).agg(_between(lo, hi, frac).alias(out))
+
+
+# Bins of a histogram, and histograms that are drawn before the rest goes by distinct values.
+BINS, PASSES = 1024, 3
+# Groups above which their bounds are joined by exchange, not by broadcast.
+BROADCAST_GROUPS = 100_000
+
+
+def _bin(v: Column) -> Column:
+    """Number of the bin of v between __lo and __hi, rising with v; infinite values and NaN have bins of their own."""
+    x, lo, hi = v.cast("double"), F.col("__lo"), F.col("__hi")
+    # Halved, so that the width of the whole range of doubles stays finite.
+    width = F.when(hi > lo, hi / 2 - lo / 2)
+    inside = F.least(F.floor((x / 2 - lo / 2) / width * BINS), F.lit(BINS - 1)) + 1
+    return (
+        F.when(F.isnan(x), BINS + 2).when(x < lo, 0).when(x > hi, BINS + 1).when(hi > lo, inside).otherwise(1).cast("long")
+    )
+
+
+def _narrowed(df: DataFrame, group: list[str], value: str, p: float, out: str, task_rows: int, bounds: DataFrame) -> DataFrame:
+    """Quantile of large groups by selection: a histogram per group, then only the bin that holds the ranks, and again.
+
+    A pass sends at most BINS + 3 rows per group and task through an exchange, however many distinct values there are. After
+    PASSES, or when the bin holds one value, what is left goes by distinct values, with the number of rows below it.
+    bounds: the group's columns, `__size`, and the finite extremes `__lo` and `__hi`.
+    """
+    v = F.col(value)
+    few = bounds.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    renamed = {g: f"__k_{g}" for g in group}
+    at = F.lit(p) * (F.col("__size") - 1)
+    targets = F.array(F.floor(at), F.ceil(at))
+    state = save(bounds.withColumns({"__below": F.lit(0).cast("long")}), "bounds")
+    settled = []
+
+    def join(rows: DataFrame, side: DataFrame) -> DataFrame:
+        side = side.withColumnsRenamed(renamed)
+        on = F.lit(True)
+        for g in group:
+            on = on & F.col(g).eqNullSafe(F.col(f"__k_{g}"))
+        return rows.join(F.broadcast(side) if few else side, on).drop(*renamed.values())
+
+    for _ in range(PASSES):
+        bins = join(df.select(*group, value), state).withColumn("__bin", _bin(v))
+        counts = bins.groupBy(*group, "__bin").agg(
+            F.count(F.lit(1)).alias("__c"), F.min(v).alias("__min"), F.max(v).alias("__max"),
+            *[F.first(c).alias(c) for c in ("__below", "__size")],
+        )
+        # At most BINS + 3 rows a group.
+        upto = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("__upto", F.sum("__c").over(upto) + F.col("__below"))
+        first = F.col("__upto") - F.col("__c")
+        hit = counts.withColumn("__rank", F.explode(targets)).filter((F.col("__rank") >= first) & (F.col("__rank") < F.col("__upto")))
+        # The ends of a bin are known; a rank between them needs a finer histogram.
+        known = F.when(F.col("__rank") == first, F.col("__min")).when(F.col("__rank") == F.col("__upto") - 1, F.col("__max"))
+        hit = hit.withColumn("__v", F.coalesce(known, F.when(F.col("__min") == F.col("__max"), F.col("__min"))))
+        # Both ranks are in one bin, or the lower one ends its bin and the upper one begins the next.
+        per = hit.groupBy(*group).agg(
+            F.max("__size").alias("__size"),
+            F.count_if(F.col("__v").isNull()).alias("__open"),
+            F.min_by("__v", "__rank").alias("__vlo"),
+            F.max_by("__v", "__rank").alias("__vhi"),
+            F.min_by("__min", F.when(F.col("__v").isNull(), F.col("__rank"))).cast("double").alias("__lo"),
+            F.min_by("__max", F.when(F.col("__v").isNull(), F.col("__rank"))).cast("double").alias("__hi"),
+            F.min_by(first, F.when(F.col("__v").isNull(), F.col("__rank"))).alias("__below"),
+        )
+        per = save(per, "selection")
+        done = per.filter(F.col("__open") == 0)
+        settled.append(done.select(*group, _between(F.col("__vlo"), F.col("__vhi"), at - F.floor(at)).alias(out)))
+        state = per.filter(F.col("__open") > 0).select(*group, "__lo", "__hi", "__size", "__below")
+        if state.isEmpty():
+            break
+        # Only the bin's rows go on.
+        inside = join(df.select(*group, value), state).filter((v >= F.col("__lo")) & (v <= F.col("__hi")))
+        df = save(inside.select(*group, value), "narrowed")
+    else:
+        rest = join(df, state.select(*group, "__size", "__below"))
+        settled.append(_by_value(rest, group, value, p, out, task_rows))
+    return functools.reduce(DataFrame.unionByName, settled)
+
+
+def exact_quantile(df: DataFrame, group: list[str], value: str, p: float, out: str, task_rows: int | None = None) -> DataFrame:
+    """Exact quantile (linear interpolation) per group; nulls do not count, NaN is the largest value.
+
+    Groups of up to task_rows rows go by their distinct values, larger ones by selection in histograms.
+    """
+    task_rows = TASK_ROWS if task_rows is None else task_rows
+    v = F.col(value)
+    rows = df.filter(v.isNotNull()).select(*group, value)
+    one = [] if group else ["__all"]
+    if one:
+        rows = rows.withColumn("__all", F.lit(1))
+    keys = group or one
+    x = v.cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    sizes = save(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"), F.min(finite).alias("__lo"), F.max(finite).alias("__hi")), "sizes")
+    large = sizes.filter(F.col("__size") > task_rows)
+    if large.isEmpty():
+        return _by_value(rows, keys, value, p, out, task_rows).drop(*one)
+    # A group without a finite value has no bounds; any will do, since its values are bins of their own.
+    large = large.fillna(0.0, ["__lo", "__hi"])
+    rows = save(rows, "values")
+    on = functools.reduce(operator.and_, [F.col(g).eqNullSafe(F.col(f"__k_{g}")) for g in keys])
+    hot = large.select(*[F.col(g).alias(f"__k_{g}") for g in keys])
+    found = _narrowed(rows, keys, value, p, out, task_rows, large)
+    if not sizes.filter(F.col("__size") <= task_rows).isEmpty():
+        found = found.unionByName(_by_value(rows.join(hot, on, "left_anti"), keys, value, p, out, task_rows))
+    return found.drop(*one)
 
 
 def average_rank(

@@ -8,6 +8,7 @@ Per-date groups have no such bound: see ordered.py for those.
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -123,23 +124,46 @@ def feature(fn: Callable[..., Stages]) -> Callable[..., DataFrame]:
     return run
 
 
+# Rows in a short and in a middle piece of a long frame; a frame is put together from pieces that do not overlap.
+SHORT, MIDDLE = 12, 60
+
+
 def moments(tag: str, pairs: dict[str, Column], lengths: list[int]) -> Stages:
-    """Rolling sums and counts for long frames at constant cost per row.
+    """Rolling sums and counts for long frames at a bounded cost per row.
 
     For each name -> expression gives `__<tag>_n_<name>_<w>` and `__<tag>_s_<name>_<w>`: count and sum of the
-    non-null values among the last w rows, as differences of running sums. A sliding frame
-    would be re-aggregated on every row (cost w per row).
+    non-null values among the last w rows. Sums are added up from pieces (sums of 12 rows, of 60 rows made of those, and the rest), each
+    taken from an earlier row, so nothing is subtracted: a large value leaves no trace once it has left the frame, as it would in
+    differences of running sums. Counts are such differences, which are exact. A sliding frame would cost w additions a row.
     """
-    cum, out = {}, {}
+
+    def name_of(size: int, name: str) -> str:
+        return f"__{tag}_p{size}_{name}"
+
+    def back(size: int, name: str, rows: int) -> Column:
+        c = F.col(name_of(size, name))
+        return F.lag(c, rows, 0.0).over(entity()) if rows else c
+
+    short, middle, out = {}, {}, {}
     for name, x in pairs.items():
-        x = finite(x)  # one infinite value would stay in every later running sum
-        cum[f"__{tag}_cs_{name}"] = F.coalesce(F.sum(x).over(so_far()), lit(0))
-        cum[f"__{tag}_cn_{name}"] = F.count(x).over(so_far())
-        s, n = F.col(f"__{tag}_cs_{name}"), F.col(f"__{tag}_cn_{name}")
+        x = finite(x)
+        short[f"__{tag}_cn_{name}"] = F.count(x).over(so_far())
+        n = F.col(f"__{tag}_cn_{name}")
         for w in lengths:
-            out[f"__{tag}_s_{name}_{w}"] = s - F.coalesce(F.lag(s, w).over(entity()), lit(0))
+            pieces, done = [], 0
+            for size in (MIDDLE, SHORT, w % SHORT):
+                while size and done + size <= w:
+                    pieces.append(back(size, name, done))
+                    done += size
+                    if size == MIDDLE:
+                        middle[name_of(MIDDLE, name)] = functools.reduce(operator.add, [back(SHORT, name, k) for k in range(0, MIDDLE, SHORT)])
+                    if size != w % SHORT:
+                        short[name_of(SHORT, name)] = F.coalesce(F.sum(x.cast("double")).over(last_rows(SHORT)), lit(0))
+                    else:
+                        short[name_of(size, name)] = F.coalesce(F.sum(x.cast("double")).over(last_rows(size)), lit(0))
+            out[f"__{tag}_s_{name}_{w}"] = functools.reduce(operator.add, pieces)
             out[f"__{tag}_n_{name}_{w}"] = n - F.coalesce(F.lag(n, w).over(entity()), F.lit(0))
-    return [cum, out]
+    return [short, middle, out] if middle else [short, out]
 
 
 def rolling_beta(tag: str, y: str, x: str, specs: dict[str, tuple[int, int]]) -> Stages:
