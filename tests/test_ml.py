@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,33 @@ def test_walk_forward_learns_and_skips_a_missing_year(spark, planted, tmp_path):
     assert set(r["window"] for r in read_predictions(spark, f"{tmp_path}/predictions").select("window").distinct().collect()) == {"2017_2019", "2018_2020"}
 
 
+def test_a_restart_fits_only_what_is_not_in_the_ledger(spark, planted, tmp_path, monkeypatch):
+    root, fitted = str(tmp_path / "features"), []
+    write_years(spark.read.parquet(planted).drop("year"), root)
+    fit = WalkForward._fit_window
+    monkeypatch.setattr(WalkForward, "_fit_window", lambda self, s, e, i: fitted.append(s) or fit(self, s, e, i))
+
+    def run(end, out="out", **changes):
+        fitted.clear()
+        cfg = WalkForwardConfig(window_start=2017, window_end=end, n_trials=1, n_splits=2, rounds=2, search_rounds=2, patience=1, **changes)
+        walk = WalkForward(spark, root, replace(cfg, output_dir=str(tmp_path / out)))
+        done = walk.run()
+        assert not walk.failed
+        return sorted(tuple(sorted(r.asDict().items())) for r in walk.summary(done).collect()), [r.params for r in done]
+
+    run(2019)
+    assert fitted == [2017]
+    after_restart = run(2020)
+    assert fitted == [2018]
+    assert run(2020, "anew") == after_restart and fitted == [2017, 2018]
+    year = spark.read.parquet(root).filter("year = 2020 AND code <> 'c1'").drop("year").collect()
+    write_years(spark.createDataFrame(year, spark.read.parquet(root).drop("year").schema), root, keep_others=True)
+    run(2020)
+    assert fitted == [2018]
+    run(2020, random_state=1)
+    assert fitted == [2017, 2018]
+
+
 def test_oof_leaves_the_first_block_empty(spark, planted):
     df = spark.read.parquet(planted).filter("year = 2017")
     rows = ml.assemble(df, ["x", "noise"], ["code", "date", "excess_return_tick"])

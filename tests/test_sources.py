@@ -114,6 +114,50 @@ def test_filtered_folder_is_reused_with_provenance(spark, tmp_path):
     assert read_provenance(spark, str(tmp_path / "nothing")) is None
 
 
+def _liquid(years, scale=1.0):
+    return [(f"c{i}", dt.date(y, 3, 1), scale * (i + 1), float(50 - i), 1) for y in years for i in range(20)]
+
+
+LIQUID = "code STRING, date DATE, amount DOUBLE, market_value DOUBLE, excess_return_tick INT"
+
+
+def _files(spark, path):
+    files = spark.read.parquet(path).inputFiles()
+    return {y: sorted(f for f in files if f"year={y}/" in f) for y in (2018, 2019, 2020)}
+
+
+def test_only_a_changed_year_is_filtered_again(spark, tmp_path):
+    source, cfg = str(tmp_path / "f"), LiquidityConfig(window_start=2018, window_end=2020)
+    src.write_years(spark.createDataFrame(_liquid([2018, 2019]), LIQUID), source)
+    build = lambda c=cfg: build_filtered(spark, source, str(tmp_path / "liq"), c)
+    first = _files(spark, build())
+    src.write_years(spark.createDataFrame(_liquid([2019, 2020], 0.5), LIQUID), source, keep_others=True)
+    second = _files(spark, build())
+    assert second[2018] == first[2018] and second[2019] != first[2019] and second[2020]
+    rows = spark.read.parquet(build()).groupBy("year").agg(F.max("amount").alias("top"), F.count("*").alias("n")).orderBy("year").collect()
+    assert [(r["year"], r["n"]) for r in rows] == [(2018, 4), (2019, 4), (2020, 4)]
+    assert rows[0]["top"] == 2 * rows[1]["top"] > 0
+    # A year with too few names to keep one: its old rows go.
+    src.write_years(spark.createDataFrame(_liquid([2020])[:3], LIQUID), source, keep_others=True)
+    assert _files(spark, build())[2020] == []
+    assert _files(spark, build(LiquidityConfig(window_start=2019, window_end=2020)))[2018] == []
+
+
+def test_a_half_written_folder_is_not_reused(spark, tmp_path, monkeypatch):
+    from tidepanel.plans import liquidity
+
+    source, cfg = str(tmp_path / "f"), LiquidityConfig(window_start=2018, window_end=2019)
+    src.write_years(spark.createDataFrame(_liquid([2018, 2019]), LIQUID), source)
+    with monkeypatch.context() as m:
+        m.setattr(liquidity, "provenance", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            build_filtered(spark, source, str(tmp_path / "liq"), cfg)
+    half = _files(spark, f"{tmp_path}/liq/f3_w101004_w201896_kr02000/features")
+    whole = build_filtered(spark, source, str(tmp_path / "liq"), cfg)
+    assert _files(spark, whole) != half and _files(spark, whole)[2019]
+    assert read_provenance(spark, whole.removesuffix("/features"))["rows_after"] == 8
+
+
 def test_scratch_uses_the_configured_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "_folders", {})
     conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: str(tmp_path))})()

@@ -92,16 +92,17 @@ def latest_date(spark: SparkSession, root: str, start: int, end: int, fmt: str =
     raise FileNotFoundError(f"no yearly data below {root} for {start}..{end}")
 
 
-def write_years(df: DataFrame, root: str, fmt: str = "parquet") -> None:
+def write_years(df: DataFrame, root: str, fmt: str = "parquet", keep_others: bool = False) -> None:
     """One directory per year (year=YYYY, or YYYY.csv), rows sorted by (code, date).
 
-    Codes are bucketed inside the year, so that every year is spread over all tasks.
+    keep_others: Parquet years that df does not have stay as they are (CSV years always do). Codes are bucketed inside the year, so that every year is spread over all tasks.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = df.withColumn("year", F.year(DATE))
     out = out.repartition(parts, "year", F.pmod(F.hash(CODE), F.lit(parts))).sortWithinPartitions("year", CODE, DATE)
     if fmt != "csv":
-        out.write.mode("overwrite").partitionBy("year").parquet(root)
+        mode = "dynamic" if keep_others else "static"
+        out.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("year").parquet(root)
         return
     # Partition folders cannot be named YYYY.csv: the rows are written once, then each year (a dozen) by itself.
     out = save(out, "years")
