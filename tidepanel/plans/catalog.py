@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions.num import canon, lit, signed_log1p
-from tidepanel.functions.windows import CODE, DATE, by_code
+from tidepanel.functions.windows import CODE, DATE, by_code, lag, roll
 from tidepanel.operators import backtest as bt
 from tidepanel.operators import beta, boosting, clean, crosssec, evaluate, flow, fundamentals, indicators, labels, market, ml
 from tidepanel.plans.liquidity import LiquidityConfig, build_filtered, provenance
 from tidepanel.plans.preprocess import PanelConfig, build_features, clean_panel, preprocess
+from tidepanel.plans.steps import Step, run_steps
 from tidepanel.plans.walkforward import WalkForward, WalkForwardConfig
 from tidepanel.sources import panel as src
 from tidepanel.sources.naming import RAW_TO_PANEL
@@ -452,6 +453,20 @@ def panel_profile(spark, sf):
     return out(one, one.columns, ())
 
 
+# Two steps of a user's: the later one reads what the earlier one makes, and is given first.
+OWN_STEPS = (
+    Step("range_trend", ("range_share",), ("range_trend",), lambda *_: [{"range_trend": roll(F.avg, 5, 3, F.col("range_share"))}]),
+    Step("range_share", ("high", "low"), ("range_share",), lambda *_: [{"range_share": (F.col("high") - F.col("low")) / (F.col("low") + lit(1))}]),
+    Step("volume_step", ("volume",), ("volume_step",), lambda *_: [{"__before": lag(F.col("volume"))}, {"volume_step": F.col("volume") - F.col("__before")}]),
+)
+
+
+@query
+def own_steps(spark, sf):
+    """Feature steps that are not built in, ordered by what they read, on the exchange of a panel by code."""
+    return out(run_steps(by_code(panel(spark, sf)), OWN_STEPS), ["range_share", "range_trend", "volume_step"])
+
+
 # --- cross-section and back-test -----------------------------------------------------------------------------------
 
 

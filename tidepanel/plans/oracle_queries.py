@@ -443,6 +443,16 @@ panel_query(
     {f"Volume_SMA_{w}": fill(f"avg(volume) OVER {rows(w)}", 0) for w in (5, 20)}
     | {f"Volume_Ratio_{w}": fill(f"volume / ((avg(volume) OVER {rows(w)}) + 1e-9)", 0) for w in (5, 20)},
 )
+panel_query(
+    "own_steps",
+    {
+        "range_share": "share",
+        "range_trend": f"CASE WHEN count(share) OVER {rows(5)} >= 3 THEN avg(share) OVER {rows(5)} END",
+        "volume_step": f"volume - {lag('volume')}",
+    },
+    "s1",
+    "s1 AS (SELECT *, (high - low) / (low + 1) AS share FROM panel)",
+)
 panel_query(
     "ta_cci",
     {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.ewm import smooth
 from tidepanel.functions.windows import CODE, DATE, by_code, run_stages
 from tidepanel.operators import beta, clean, flow, fundamentals, indicators, labels, market
+from tidepanel.plans.steps import Step, run_steps
 from tidepanel.sources.panel import ORDINAL, load_panel
 from tidepanel.sources.scratch import save
 
@@ -29,6 +30,7 @@ class PanelConfig:
     short_log_transform: bool = True
     skip_year_check: bool = False
     extended: bool = False
+    steps: tuple[Step, ...] = ()  # own features, after the built-in ones and before the labels
 
     def __post_init__(self):
         if not self.skip_year_check and self.end_year - self.start_year < 2:
@@ -159,7 +161,7 @@ def per_code_features(df: DataFrame, cfg: PanelConfig) -> DataFrame:
     df = by_code(df)
     for family in FAMILIES:
         df = run_family(df, family, cfg)
-    return df
+    return run_steps(df, cfg.steps, cfg)
 
 
 def build_features(df: DataFrame, cfg: PanelConfig) -> DataFrame:
