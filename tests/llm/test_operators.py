@@ -83,11 +83,10 @@ def brute_licenses(rows):
         w = words(t)
         hits = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         scores = defaultdict(float)
-        for line in re.split(r"[\n\r]+", t or ""):
-            own = set(words(line))
-            for label, ws in sets:
-                if len(own & set(ws)) >= math.ceil(licenses.THRESHOLD * len(ws) - 1e-9):
-                    scores[label] = max(scores[label], len(own & set(ws)) / len(ws))
+        for label, ws, need, n in sets:
+            best = max((len(set(ws).intersection(w[k : k + n])) for k in range(len(w))), default=0)
+            if best >= need:
+                scores[label] = max(scores[label], best / len(ws))
         base = sorted({x for _, x in hits})
         at = [k for k, _ in hits]
         score = max([0.0, *scores.values(), 1.0 if hits else 0.0])
@@ -96,13 +95,37 @@ def brute_licenses(rows):
 
 
 def test_licenses(frame, tricky):
+    mit, bsd = licenses.TEMPLATES["mit"][1], licenses.TEMPLATES["bsd"][0]
+    cut = " ".join(w for k, w in enumerate(bsd.split(" ")) if k % 6)
     rows = tricky + [
         (20, "cc by cc by CC-BY. General Public\nLicense"), (21, "Licensed under the Apache License, Version 2.0"),
         (22, "Licensed, under the apache licence version 2.0\nx"), (23, "released under a MIT license\n\nThe MIT license"), (24, "rights reserved all"),
         (25, "work released into public domain has been the"), (26, "All\nrights reserved"),
+        (27, f"{prose(2, 50)} {mit} {prose(3, 50)}".replace(" ", "\n", 120)), (28, bsd.replace(" ", " \r\n// ")), (29, cut),
+        (30, "\n".join(t for texts in licenses.TEMPLATES.values() for t in texts)), (31, f"{cut} {bsd} {bsd}"), (32, "software " * 3000),
+        (33, " all ".join(prose(k, 500) for k in (4, 5)) + " rights " + prose(6, 500) + " reserved"), (34, mit[: len(mit) // 2]),
     ]
     got = licenses.scan(frame(rows)).collect()
     assert by((*r[:-1], round(r.score, 9)) for r in got) == brute_licenses(rows)
+    labels = {r.doc_id: r.labels.split(",") for r in got}
+    assert "rights-reserved" in labels[26] and "mit" in labels[27] and "bsd" in labels[28]
+    assert labels[33] == labels[34] == [""]
+
+
+def test_license_blocks_anywhere(frame):
+    """Windows of random words over a small lexicon, where most places are near misses."""
+    templates = {"a": [prose(11, 14, 20)], "b": [prose(12, 30, 20)], "c": [prose(13, 3, 20)]}
+    rows = [(i, prose(i, 60, 20) if i % 2 else prose(i, 40, 20) + " " + " ".join(reversed(templates["b"][0].split()))) for i in range(40)]
+    lexicon = [w for t in templates.values() for w in t[0].split()]
+    rows += [(100 + i, " ".join(lexicon[(i * 7 + k * (i + 1)) % len(lexicon)] for k in range(50))) for i in range(40)]
+    got = sorted((r.label, round(r.score, 9)) for r in licenses.matches(frame(rows), templates).collect())
+    want = []
+    for _, text in rows:
+        w = words(text)
+        for label, ws, need, n in licenses.template_sets(templates):
+            best = max(len(set(ws).intersection(w[k : k + n])) for k in range(len(w)))
+            want += [(label, round(best / len(ws), 9))] if best >= need else []
+    assert got == sorted(want) and 0 < len(want) < 3 * len(rows)
 
 
 def test_licenses_empty(frame):
