@@ -444,6 +444,48 @@ def test_near_join_shortens_prefixes(frame):
     assert by(got) == brute_join(rows)[0]
 
 
+def test_near_join_on_documents(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert by(lsh_forest.query(spark, sf_dir).select("doc_id", "class_id", "n_links").collect()) == brute_join(rows)[0]
+
+
+def test_forest_depths(frame):
+    """A hot node stops where the recall is met, small ones are shortened on; whatever the batches, nodes are those of plain grouping."""
+    rows = list(enumerate([*variants(1, 200, 2, 120), *variants(2, 200, 8, 12), *(prose(100 + i, 80) for i in range(30))]))
+    limit = lsh_forest.target_depth(0.8, 32, 8, 0.999)
+    assert limit == 7 and lsh_forest.chance(0.8, 7, 32) >= 0.999 > lsh_forest.chance(0.8, 8, 32)
+    _, sets = lsh_forest.signed(streaming_dedup.located(frame(rows).select("doc_id", "text")))
+    nodes = lsh_forest.forest(sets, 32, 8, limit, limit - 2)
+    labels = {bytes(r.set): np.frombuffer(r.label, np.uint16).reshape(32, 8) for r in sets.collect()}
+    want = set()
+    for tree in range(32):
+        for d in (7, 6, 5):
+            groups = defaultdict(set)
+            for k, v in labels.items():
+                groups[v[tree, :d].tobytes()].add(k)
+            shorter = defaultdict(set)
+            for k, v in labels.items():
+                shorter[v[tree, : d - 1].tobytes()].add(k)
+            for prefix, own in groups.items():
+                stops = d == 5 or len(shorter[prefix[:-2]]) > lsh_forest.SMALL
+                if len(own) > 1 and stops and (d == 7 or len(own) <= lsh_forest.SMALL):
+                    want.add((tree, d, frozenset(own)))
+    got = defaultdict(set)
+    for r in nodes.collect():
+        got[r.node, r.depth].add(bytes(r.set))
+    assert {(node & 255, d, frozenset(own)) for (node, d), own in got.items()} == want
+    assert {d for _, d, _ in want} >= {5, 7} and {r.depth for r in lsh_forest.depths(nodes).collect()} == {d for _, d, _ in want}
+
+
+def test_commons_of_repeated_postings(monkeypatch):
+    monkeypatch.setattr(lsh_forest, "POSTINGS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 40, 40, 80, 3)]
+    commons = lsh_forest._Commons(sets)
+    for i, a in enumerate(sets):
+        assert commons.of(i).tolist() == [len(np.intersect1d(a, b)) for b in sets]
+
+
 def test_near_join_keeps_one(frame, tricky):
     docs = frame(tricky)
     kept = lsh_forest.keep_first(docs)
