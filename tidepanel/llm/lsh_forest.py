@@ -11,7 +11,7 @@ values less, while it stays small. So sets with few neighbours are searched wide
 hot nodes are not widened. `depths` counts the nodes that stop at each depth.
 
 Nodes are chained into clusters of candidates (connected components over node hubs, so no pairs are formed). The sets of a cluster are sorted along
-the trie and cut into blocks of up to BLOCK, so neighbours share a block. Verified together are a block with itself, and two blocks of a cluster
+the trie and cut into blocks of about BLOCK by running sums, so neighbours share a block. Verified together are a block with itself, and two blocks of a cluster
 if some node has sets of both. In such a group pairs that share a node are compared exactly, by counts of common shingles; a pair meets in one
 group only. A group returns a row per set: its number of links, and the smallest set it is joined to. So links are all counted, and never written
 out as rows; classes are the components over them.
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.ordered import ordered_running_sum
 from tidepanel.llm.graph import components
 from tidepanel.llm.streaming_dedup import keep_rows, located
 from tidepanel.llm.words import hash_words, mix, shingle_hashes, sliced
@@ -46,7 +46,7 @@ RECALL = 0.999
 #: Nodes of up to SMALL sets are shortened by up to SPARE values beyond the depth of the target recall.
 SMALL = 64
 SPARE = 2
-#: Sets, and shingles of all its sets, in a block (one set may have more).
+#: Sets, and shingles of all its sets, that a block may start with.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 #: Places in postings that verification looks at together.
 POSTINGS = 1 << 20
@@ -218,37 +218,23 @@ def depths(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("depth").agg(F.count_distinct("node").alias("nodes"), F.count(F.lit(1)).alias("places"))
 
 
-def _cut(block: int):
-    """Sorted rows of (cluster, set) to blocks: up to `block` consecutive rows of one cluster, and up to BLOCK_SHINGLES."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, weight, last = TaskContext.get().partitionId() << 40, 0, 0, None
-        for batch in batches:
-            out = np.empty(batch.num_rows, dtype=np.int64)
-            for i, (cluster, own) in enumerate(zip(batch.column("cluster").to_pylist(), batch.column("size").to_pylist())):
-                if cluster != last or size == block or weight + own > BLOCK_SHINGLES:
-                    number, size, weight, last = number + 1, 0, 0, cluster
-                out[i] = number
-                size, weight = size + 1, weight + own
-            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("set"), pa.array(out)], names=["cluster", "set", "block"])
-
-    return run
-
-
 def _groups(clusters: DataFrame, sets: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """set, block, x, y: the sets of each pair of blocks that is verified together."""
+    """set, block, cluster, x, y: the sets of each pair of blocks that is verified together. Blocks are numbered in their cluster."""
     # The beginning of the label says which sets are neighbours in the first trees.
-    along = clusters.join(sets.select("set", "size", F.expr("substring(label, 1, 32)").alias("label")), "set")
-    order = ("cluster", "label", "set")
-    along = save(along, "along").repartitionByRange(*order).sortWithinPartitions(*order).select("cluster", "set", "size")
-    dealt = save(along.mapInArrow(_cut(block), "cluster binary, set binary, block long"), "blocks")
+    along = save(clusters.join(sets.select("set", "size", F.expr("substring(label, 1, 32)").alias("label")), "set"), "along")
+    # A set takes its share of a block, by number or by shingles, whichever is more.
+    share = {"upto": F.greatest(F.lit(BLOCK_SHINGLES // block), F.col("size"))}
+    along = ordered_running_sum(along, ["cluster"], [F.col("label"), F.col("set")], share, task_rows=4 * block)
+    number = F.floor((F.col("upto") - 1) / F.lit(BLOCK_SHINGLES)).cast("long")
+    dealt = save(along.select("cluster", "set", number.alias("block")), "blocks")
     large = dealt.groupBy("cluster").agg(F.min("block").alias("least"), F.max("block").alias("most")).filter("least < most").select("cluster")
-    both = nodes.select("set", "node").join(dealt.join(save(large, "large"), "cluster").select("set", "block"), "set")
-    both = save(both.select("node", "block").distinct(), "shared")
-    met = both.alias("a").join(both.alias("b"), "node").filter("a.block < b.block").select(F.col("a.block").alias("x"), F.col("b.block").alias("y")).distinct()
-    own = dealt.select("set", "block", F.col("block").alias("x"), F.col("block").alias("y"))
-    sides = save(met, "met").select("x", "y", F.explode(F.array("x", "y")).alias("block"))
-    return own.unionByName(dealt.select("set", "block").join(sides, "block").select("set", "block", "x", "y"))
+    both = nodes.select("set", "node").join(dealt.join(save(large, "large"), "cluster"), "set")
+    both = save(both.select("node", "cluster", "block").distinct(), "shared")
+    met = both.alias("a").join(both.alias("b"), "node").filter("a.block < b.block")
+    met = met.select("a.cluster", F.col("a.block").alias("x"), F.col("b.block").alias("y")).distinct()
+    own = dealt.select("set", "block", "cluster", F.col("block").alias("x"), F.col("block").alias("y"))
+    sides = save(met, "met").select("cluster", "x", "y", F.explode(F.array("x", "y")).alias("block"))
+    return own.unionByName(dealt.join(sides, ["cluster", "block"]).select("set", "block", "cluster", "x", "y"))
 
 
 def verify(group: pd.DataFrame, threshold: float, trees: int) -> pd.DataFrame:
@@ -337,7 +323,7 @@ def _links(rows: DataFrame, docs: DataFrame, sets: DataFrame, nodes: DataFrame,
     own = nodes.groupBy("set").agg(F.collect_list("node").alias("nodes"))  # at most one a tree
     known = save(shingles.join(own, "set"), "shingles")
     full = _groups(clusters, sets, nodes, block).join(known, "set")
-    checked = full.groupBy("x", "y").applyInPandas(lambda g: verify(g, threshold, trees), "set binary, links long, top binary")
+    checked = full.groupBy("cluster", "x", "y").applyInPandas(lambda g: verify(g, threshold, trees), "set binary, links long, top binary")
     return save(checked, "links")
 
 
