@@ -1,10 +1,12 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from panel_helpers import column
 from pyspark.sql import functions as F
 
+from tidepanel.functions import windows
 from tidepanel.operators import beta, clean
 from tidepanel.plans.liquidity import LiquidityConfig, build_filtered, read_provenance
 from tidepanel.plans.preprocess import PanelConfig, preprocess
@@ -208,3 +210,24 @@ def test_config_needs_two_years():
     with pytest.raises(ValueError):
         PanelConfig(2020, 2021)
     PanelConfig(2020, 2021, skip_year_check=True)
+
+
+def test_the_exchange_by_code_grows_with_the_files_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20_000).selectExpr("cast(id % 50 as string) code", "rand(1) x").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert windows.exchange_parts(df) == session
+    assert windows.exchange_parts(df, 10_000) > session
+    assert windows.exchange_parts(spark.range(5)) == session
+
+
+def test_lines_are_exchanged_once_on_the_code(spark, sf_dir):
+    """The bars need no exchange on code and date, nor a second one on the code; lines of a hot code are added up first."""
+    plan = build_panel(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(code#" in plan
+    assert not re.search(r"hashpartitioning\(code#\d+L?, \S+, \d+\)", plan)
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    hot = build_panel(spark, sf_dir, task_rows=1)
+    assert hot.exceptAll(build_panel(spark, sf_dir)).count() == 0
+    assert hot.count() == build_panel(spark, sf_dir).count()
