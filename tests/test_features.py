@@ -9,6 +9,7 @@ from panel_helpers import column
 from pyspark.sql import functions as F
 
 from tidepanel.functions.windows import by_code
+from tidepanel.plans import catalog
 from tidepanel.operators import flow, fundamentals, indicators, labels
 
 
@@ -116,3 +117,14 @@ def test_label_histogram_counts_every_row(walk):
     assert [r["n_rows"] for r in h] == want.tolist()
     assert [r["bin_low"] for r in h] == pytest.approx(edges[:-1].tolist())
     assert h[0]["median"] == pytest.approx(x.median()) and h[0]["mean"] == pytest.approx(x.mean())
+
+
+def test_label_queries_carry_prices_only(spark, sf_dir):
+    """The labels' table holds what labels and scores read; the yearly table has all columns, written without an exchange of wide rows."""
+    df = catalog.labelled(spark, sf_dir)
+    assert "fii_net" not in df.columns and "excess_return_tick" in df.columns
+    wide = catalog.labelled_panel(spark, sf_dir)
+    assert set(catalog.PANEL_COLUMNS) <= set(wide.columns)
+    assert wide._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    cols = ["code", "date", "return", "excess_return_tick"]
+    assert wide.select(*cols).exceptAll(df.select(*cols)).count() == 0
