@@ -1,6 +1,7 @@
 """Features against an independent pandas computation, and warm-up values on tiny inputs."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -9,8 +10,8 @@ from panel_helpers import column
 from pyspark.sql import functions as F
 
 from tidepanel.functions.windows import by_code
-from tidepanel.plans import catalog
 from tidepanel.operators import flow, fundamentals, indicators, labels
+from tidepanel.plans import catalog, preprocess
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +129,12 @@ def test_label_queries_carry_prices_only(spark, sf_dir):
     assert wide._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
     cols = ["code", "date", "return", "excess_return_tick"]
     assert wide.select(*cols).exceptAll(df.select(*cols)).count() == 0
+
+
+def test_the_rank_is_joined_before_the_rows_are_wide(spark, sf_dir):
+    cfg = preprocess.PanelConfig(1995, 2001)
+    df = preprocess.build_features(catalog.market_panel(spark, sf_dir).filter("code in ('1', '2', '3')"), cfg)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    join = re.search(r"Join \[code#\d+, date#\d+", plan)
+    assert join and plan.index("Window [") < join.start()
+    assert "days_to_cover_rank" in df.columns and "__cover_rank" not in df.columns
