@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from panel_helpers import column
@@ -101,3 +102,10 @@ def test_null_rates(sparse):
     got = {r["column"]: r["null_rate"] for r in clean.null_rates(sparse).collect()}
     assert got == pytest.approx({"adj_close": 3 / 7, "volume": 2 / 7})
     assert F is not None
+
+
+def test_days_are_made_and_mended_on_one_exchange(spark):
+    df = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0, 2.0)], "code string, date date, adj_close double, market_return double")
+    plan = clean.repair_market(clean.densify(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(code#", plan)) == 1
