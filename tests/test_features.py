@@ -9,7 +9,7 @@ import pytest
 from panel_helpers import column
 from pyspark.sql import functions as F
 
-from tidepanel.functions.windows import by_code
+from tidepanel.functions.windows import by_code, rolling_variance, run_stages
 from tidepanel.operators import flow, fundamentals, indicators, labels
 from tidepanel.plans import catalog, preprocess
 
@@ -138,3 +138,11 @@ def test_the_rank_is_joined_before_the_rows_are_wide(spark, sf_dir):
     join = re.search(r"Join \[code#\d+, date#\d+", plan)
     assert join and plan.index("Window [") < join.start()
     assert "days_to_cover_rank" in df.columns and "__cover_rank" not in df.columns
+
+
+def test_rolling_variance_equals_pandas(series):
+    values = [None if i % 11 == 3 else (i * 37 % 101) / 20 - 2.5 for i in range(200)]
+    df = run_stages(by_code(series({"a": [{"x": v} for v in values]})), rolling_variance("t", "x", {"v": (60, 30)}))
+    got = [r["v"] for r in df.orderBy("date").collect()]
+    want = pd.Series(values, dtype=float).rolling(60, min_periods=30).var()
+    assert all((g is None) == pd.isna(w) and (g is None or abs(g - w) < 1e-12) for g, w in zip(got, want))

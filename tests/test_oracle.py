@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from tidepanel.plans import catalog
 
 SQL = entry_points.oracle_sql()
 
@@ -45,3 +46,10 @@ def test_every_sql_has_a_query():
 def test_entry(spark):
     rows = entry_points.entry(spark).collect()
     assert {r["series"] for r in rows} == {"D1", "D2", "D3", "D4", "D5"}
+
+
+def test_labels_need_no_exchange_of_prices(spark, sf_dir):
+    """The rows that the betas are made on stay where the panel was made: only lines are exchanged, on the code."""
+    catalog.market_days(spark, sf_dir)
+    plan = catalog.prices(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1
