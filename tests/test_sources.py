@@ -231,3 +231,9 @@ def test_lines_are_exchanged_once_on_the_code(spark, sf_dir):
     hot = build_panel(spark, sf_dir, task_rows=1)
     assert hot.exceptAll(build_panel(spark, sf_dir)).count() == 0
     assert hot.count() == build_panel(spark, sf_dir).count()
+
+
+def test_parts_of_an_exchange_are_whole_multiples_of_the_session_s(spark, tmp_path):
+    spark.range(20_000).write.parquet(str(tmp_path / "t"))
+    df, session = spark.read.parquet(str(tmp_path / "t")), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(windows.exchange_parts(df, n) % session == 0 for n in (1_000, 3_000, 7_000, 10_000))
