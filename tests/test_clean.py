@@ -109,3 +109,14 @@ def test_days_are_made_and_mended_on_one_exchange(spark):
     plan = clean.repair_market(clean.densify(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1
     assert len(re.findall(r"Exchange hashpartitioning\(code#", plan)) == 1
+
+
+def test_null_rates_of_kept_rows_need_no_values(spark):
+    """One bit a column, over more columns than a number has bits, gives the rates of the rows that are kept."""
+    names = [f"v{i}" for i in range(70)]
+    data = [("a", dt.date(2020, 1, d), k, *[None if (i + d * k) % 3 == 0 else float(i) for i in range(70)]) for d in (1, 2, 3) for k in (1, 2)]
+    df = spark.createDataFrame(data, "code string, date date, ord int, " + ", ".join(f"{n} double" for n in names))
+    want = {r["column"]: r["null_rate"] for r in clean.null_rates(clean.dedup_last(df, "ord")).collect()}
+    assert {r["column"]: r["null_rate"] for r in clean.kept_null_rates(df, "ord").collect()} == want
+    for task_rows in (None, 0):
+        assert sorted(clean.dedup_on_code(df, "ord", task_rows).collect()) == sorted(clean.dedup_last(df, "ord").collect())

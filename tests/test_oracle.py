@@ -53,3 +53,21 @@ def test_labels_need_no_exchange_of_prices(spark, sf_dir):
     catalog.market_days(spark, sf_dir)
     plan = catalog.prices(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") == 1
+
+
+def exchanged(df) -> set[str]:
+    """Columns that the exchanges asked for in df's plan carry."""
+
+    def walk(node):
+        children = node.children()
+        below = set().union(*[walk(children.apply(i)) for i in range(children.size())])
+        out = node.output()
+        return below | ({out.apply(i).name() for i in range(out.size())} if node.nodeName() == "RepartitionByExpression" else set())
+
+    return walk(df._jdf.queryExecution().optimizedPlan())
+
+
+def test_bars_are_not_exchanged_again(spark, sf_dir):
+    """Rows of every day, and features, are made where the panel's rows are: only lines are exchanged."""
+    assert not exchanged(catalog.QUERIES["calendar_densify"](spark, sf_dir)) & {"adj_close", "pbr"}
+    assert not exchanged(catalog.QUERIES["feature_table"](spark, sf_dir)) & {"adj_close", "pbr"}
