@@ -2,11 +2,13 @@ import datetime as dt
 import json
 import random
 from dataclasses import replace
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators import evaluate, ml
+from tidepanel.plans import catalog
 from tidepanel.plans.liquidity import LiquidityConfig
 from tidepanel.plans.report import BacktestConfig
 from tidepanel.plans.run import TrainRun, backtest, train
@@ -246,3 +248,20 @@ def test_train_and_backtest_runs(spark, tmp_path):
     assert top["D1"] > top["D5"]
     assert spark.read.json(str(tmp_path / "report" / "liquidity_filter_meta")).first()["rows_after"] == 1800
     assert spark.read.option("header", True).csv(str(tmp_path / "exp" / "diagnostics" / "labels")).count() == 3600
+
+
+def test_model_queries_use_the_operators_own_rounds_and_trials(monkeypatch):
+    """The registered model queries leave nothing of the search, the walk-forward or a fit out."""
+    seen = []
+    monkeypatch.setattr(catalog, "WalkForward", lambda spark, root, cfg: seen.append(cfg) or SimpleNamespace(run=list))
+    monkeypatch.setattr(catalog, "feature_store", lambda *_: "")
+    monkeypatch.setattr(catalog, "shared_path", lambda spark, key, write: write("out"))
+    catalog.walk_output(None, "sf")
+    assert seen == [WalkForwardConfig(window_start=1995, window_end=2001, output_dir="out")]
+    monkeypatch.setattr(catalog, "_once", lambda spark, key, make: make())
+    monkeypatch.setattr(catalog, "_binned", lambda *_: None)
+    monkeypatch.setattr(catalog.boosting, "search", lambda data, draws, *rest: (None, (len(draws), *rest)))
+    monkeypatch.setattr(catalog.boosting, "trial_table", lambda spark, trials: trials)
+    assert catalog.random_search(None, "sf") == (15, 3, ml.SEARCH_ROUNDS, ml.PATIENCE)
+    default = catalog.boosting.BoostParams()
+    assert (catalog.MODEL.rounds, catalog.MODEL.num_leaves, catalog.MODEL.max_depth) == (ml.FINAL_ROUNDS, default.num_leaves, default.max_depth)
